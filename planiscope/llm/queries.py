@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decision_list, simhash, substring_dedup, suffix_dedup
+from . import byte_bpe, decision_list, language_id, simhash, substring_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -55,3 +55,10 @@ def op4_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = decision_list.learn(decision_list.sample(docs, table(spark, sf_dir, "labels")))
     judged = decision_list.judge(docs, rules)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@_query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.train(docs))
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
