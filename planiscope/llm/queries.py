@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decision_list, html_text, language_id, simhash, substring_dedup, suffix_dedup, warc
+from . import byte_bpe, decision_list, html_text, language_id, packing, simhash, substring_dedup, suffix_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -72,3 +72,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@_query
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), bpe_path(), public_tokenizers.PATTERN)
