@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decision_list, html_text, language_id, packing, simhash, substring_dedup, suffix_dedup, warc
+from . import byte_bpe, decision_list, decontamination, html_text, language_id, packing, simhash, substring_dedup, suffix_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -79,3 +79,9 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packing.pack(table(spark, sf_dir, "documents"), bpe_path(), public_tokenizers.PATTERN)
+
+
+@_query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", *[F.round(c, 6).alias(c) for c in ("share", "cosine", "answer")], "start_word")
