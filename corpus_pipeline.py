@@ -1,15 +1,77 @@
-"""Five text operators applied to `documents` one after the other; each stage works on all that its predecessor kept."""
+"""Five text operators applied to `documents` one after the other; each stage works on all that its predecessor kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns of `documents`, the last one the token ids.
+The driver writes each stage's rows as Parquet and rereads them for the next; `run` does the same on shared storage.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from planiscope.llm import byte_bpe, decontamination, language_id, simhash, substring_dedup
+from planiscope.llm.common import stored
+
+#: Score of language identification below which a text is no prose of any learned language.
+LEAST_SCORE = 0.2
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a letter and a language told with some certainty; `lang` becomes the language told."""
+    model = language_id.train(docs)
+    if model is None:  # nothing to learn from: nothing is rejected but texts without a letter
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = language_id.identify(docs, model, keep=tuple(docs.columns))
+    return found.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).withColumn("lang", F.col("lang_pred")).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints stays: that of the smallest id; ids that repeat stay once."""
+    found = simhash.near_duplicates(docs)
+    kept = stored(found.filter(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("_id")).distinct(), "kept")
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+
+
+def drop_repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words inside windows that repeat across the corpus leave the text; documents left without a word go."""
+    found = substring_dedup.deduplicate(docs, with_text=True)
+    changed = found.filter("n_removed > 0").select(F.col("id").alias("_id"), F.col("kept").alias("_kept"))
+    joined = docs.join(changed, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    text = F.when(F.col("_kept").isNotNull(), F.col("_kept")).otherwise(F.col("text"))
+    out = joined.withColumn("text", text).withColumn("n_chars", F.when(F.col("_kept").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.filter(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = found.select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left, with the digest of what they decode to."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    tokens = byte_bpe.encode(docs, path, keep=("doc_id", "lang", "source"))
+    back = byte_bpe.decode(tokens, path, keep=("doc_id", "lang", "source", "token_ids"))
+    return back.select("doc_id", "lang", "source", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("substring_dedup", drop_repeated_substrings),
+    ("decontamination", drop_contaminated),
+    ("byte_bpe", encode),
+]
 
-STAGES: list = []
+#: The stages learn models and search by hashes: SQL has no form of them. tests/llm/test_pipeline.py holds the plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
