@@ -56,7 +56,7 @@ def with_uid(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 # --------------------------------------------------------------------------- arrays
 
 
-def text_slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows with about `limit` bytes of text: first row, row after the last, bytes, byte offsets from 0."""
     texts = batch.column(batch.schema.get_field_index(column))
     if texts.null_count:
@@ -116,7 +116,7 @@ def _powers(seed: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(seed: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    room = 1 << 21
+    room = 1 << 19
     while room < size + 1:
         room *= 2
     return _powers(seed, room)
