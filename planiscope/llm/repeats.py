@@ -12,7 +12,7 @@ Both duplicate-substring operators stand on this module. A window is `length` to
    a bucket's edge cuts is compared across the edge by digests of its windows.
 
 Hot keys: repeated spans are combined in the task that reads them; an anchor seen `HOT` times by one batch skips step 2,
-so no task gets more than HOT rows per batch of one anchor; in step 3 a hot anchor is split by document. All
+so no task gets more than HOT rows per batch of one anchor; in step 3 anchors over GROUP are dealt out by document too. All
 intermediate tables are on shared storage or ordinary shuffles; the driver gets no rows.
 """
 
@@ -30,8 +30,9 @@ from .common import joined_hash, merged, partitions, prefix_hash, ranges, slidin
 
 #: Rows of one anchor in one batch from which they go to step 3 at once.
 HOT = 64
-#: Spans that step 3 compares at a time.
+#: Spans that step 3 compares at a time, and spans of one anchor up to which they stay together.
 CHUNK = 8192
+GROUP = 32768
 
 _PLAIN, _FLAGGED, _OPEN, _MARK, _KNOWN = range(5)
 
@@ -269,33 +270,35 @@ _FOUND = pa.schema([("uid", pa.int64()), ("start", pa.int32()), ("stop", pa.int3
 
 def _compare(batches: Iterator[pa.RecordBatch], units: Units, keep_first: bool, chunk: int) -> Iterator[pa.RecordBatch]:
     """Step 3 over a bucket sorted by its leading tokens: flagged runs (kind 1), digests of windows of cut groups (2, 3)."""
-    held: pa.Table | None = None
-    cut_before = True  # the group at the start of what is held may have begun in another bucket or chunk
+    held: list[pa.RecordBatch] = []
+    rows = 0
     for batch in batches:
-        t = pa.Table.from_batches([batch])
-        held = t if held is None else pa.concat_tables([held, t])
-        while held.num_rows >= 2 * chunk:
-            leads = held.column("lead").to_pylist()
-            at = chunk
-            while at < 2 * chunk and leads[at] == leads[at - 1]:
-                at += 1
-            clean = at < 2 * chunk
-            yield from _compare_chunk(held.slice(0, at), units, keep_first, cut_before, not clean)
-            cut_before = not clean
-            held = held.slice(at)
-    if held is not None and held.num_rows:
-        yield from _compare_chunk(held, units, keep_first, cut_before, True)
-
-
-def _compare_chunk(t: pa.Table, units: Units, keep_first: bool, cut_before: bool, cut_after: bool) -> Iterator[pa.RecordBatch]:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < chunk:
+            continue
+        t = pa.Table.from_batches(held)
+        last = (t.column("lead")[-1], t.column("salt")[-1])
+        at = rows
+        while at and (t.column("lead")[at - 1], t.column("salt")[at - 1]) == last:
+            at -= 1
+        if at:
+            yield from _compare_chunk(t.slice(0, at), units, keep_first)
+            held, rows = t.slice(at).combine_chunks().to_batches(), t.num_rows - at
+    if rows:
+        yield from _compare_chunk(pa.Table.from_batches(held), units, keep_first)
+
+
+def _compare_chunk(t: pa.Table, units: Units, keep_first: bool) -> Iterator[pa.RecordBatch]:
     t = t.combine_chunks()
     leads = t.column("lead").to_pylist()
-    uid, a, md, tag = (t.column(c).to_numpy() for c in ("uid", "a", "md", "tag"))
+    uid, a, md, tag, salt = (t.column(c).to_numpy() for c in ("uid", "a", "md", "tag", "salt"))
     m, d = (md & 0xFFF).astype(np.int64), (md >> 12).astype(np.int64)
     rows = pa.RecordBatch.from_arrays([t.column("piece").chunk(0) if t.num_rows else pa.array([], pa.binary())], names=["piece"])
     ((_, _, buf, offs),) = list(text_slices(rows, "piece", 1 << 62))
     first, levels = units.keys(buf, offs)
     new = np.array([True] + [x != y for x, y in zip(leads[1:], leads[:-1], strict=True)])
+    new[1:] |= salt[1:] != salt[:-1]
     lead_group = np.cumsum(new) - 1
     row = np.repeat(np.arange(len(m)), m)
     within = ranges(np.zeros(len(m), np.int64), m)
@@ -327,11 +330,7 @@ def _compare_chunk(t: pa.Table, units: Units, keep_first: bool, cut_before: bool
     flagged[live] = ~head if keep_first else True
     hit = flagged & ~known
     yield _runs(uid[row[hit]], pos[hit].astype(np.int64), units.length)
-    cut = np.zeros(len(at), bool)
-    if cut_before:
-        cut |= lead_group[row] == 0
-    if cut_after:
-        cut |= lead_group[row] == lead_group[-1]
+    cut = salt[row] > 0
     if keep_first:
         ask = cut & ~flagged
         repeats = np.zeros(len(at), bool)
@@ -361,7 +360,7 @@ def _runs(uid: np.ndarray, pos: np.ndarray, length: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(uid[at]), pa.array(pos[at], pa.int32()), pa.array(pos[last] + length, pa.int32()), none, none, pa.array(np.ones(len(at)), pa.int8())], schema=_FOUND)
 
 
-def repeated_spans(docs: DataFrame, units: Units, keep_first: bool, chunk: int = CHUNK) -> DataFrame:
+def repeated_spans(docs: DataFrame, units: Units, keep_first: bool, chunk: int = CHUNK, group: int = GROUP) -> DataFrame:
     """(uid, start, stop): token ranges that repeated windows cover, for `docs` (uid, text) with unique uid.
 
     With keep_first, the window of each content that comes first by (uid, start) is spared; else all of its places count.
@@ -373,7 +372,13 @@ def repeated_spans(docs: DataFrame, units: Units, keep_first: bool, chunk: int =
     open_spans = settled.filter(F.col("tag").isin(_OPEN, _KNOWN)).groupBy("uid").agg(F.collect_list(F.struct("a", "md", "tag")).alias("spans"))
     pieces = docs.select("uid", "text").join(open_spans, "uid").mapInArrow(lambda it: _fetch(it, units), "lead binary, uid long, a int, md int, tag byte, piece binary")
     pieces = stored(pieces, "pieces")
-    buckets = pieces.repartitionByRange(n, "lead", "uid", "a").sortWithinPartitions("lead", "uid", "a")
+    large = stored(pieces.groupBy("lead").agg(F.count("*").alias("n")).filter(F.col("n") > group), "large")
+    if large.take(1):
+        deal = 1 + F.pmod(F.xxhash64("uid"), F.ceil(F.col("n") / group))
+        pieces = pieces.join(large, "lead", "left").select(pieces["*"], F.coalesce(deal, F.lit(0)).cast("int").alias("salt"))
+    else:
+        pieces = pieces.withColumn("salt", F.lit(0))
+    buckets = pieces.repartitionByRange(n, "lead", "salt").sortWithinPartitions("lead", "salt", "uid", "a")
     found = stored(buckets.mapInArrow(lambda it: _compare(it, units, keep_first, chunk), "uid long, start int, stop int, h1 long, h2 long, kind byte"), "windows")
     whole = settled.filter(F.col("tag") == _FLAGGED).select("uid", F.col("a").alias("start"), (F.col("a") + F.col("md").bitwiseAND(0xFFF) + (units.length - 1)).alias("stop"))
     cut = found.filter("kind > 1")

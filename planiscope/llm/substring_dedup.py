@@ -62,7 +62,7 @@ def _without(text: bytes, starts: np.ndarray, ends: np.ndarray, s: np.ndarray, e
     return b"".join(out).decode()
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 35, with_text: bool = False, chunk: int = repeats.CHUNK) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 35, with_text: bool = False, chunk: int = repeats.CHUNK, group: int = repeats.GROUP) -> DataFrame:
     """(uid, id, n_words, n_removed, kept_sha256[, kept]) per document after removal of repeated word windows.
 
     A word goes if a window of `length` words that covers it starts anywhere else too; every place of a repeated window
@@ -73,6 +73,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     units = repeats.Units(words=True, length=length, lead=min(FIRST_LEVEL, max(1, length // 2)))
     rows = with_uid(docs, id_col, text_col)
-    spans = repeats.repeated_spans(rows, units, keep_first=False, chunk=chunk)
+    spans = repeats.repeated_spans(rows, units, keep_first=False, chunk=chunk, group=group)
     schema = "uid long, id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
     return repeats.with_spans(rows, spans).select("uid", "id", "text", "spans").mapInArrow(lambda it: _kept(it, with_text), schema)

@@ -50,7 +50,7 @@ def _kept(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Rec
         del texts
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, with_text: bool = False, chunk: int = repeats.CHUNK) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, with_text: bool = False, chunk: int = repeats.CHUNK, group: int = repeats.GROUP) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) per document after removal of repeated byte strings.
 
     A byte goes if a string of `length` bytes that covers it also starts earlier: in a document of smaller id, or before
@@ -61,6 +61,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     units = repeats.Units(words=False, length=length, lead=min(LEAD, max(1, length // 2)))
     rows = with_uid(docs, id_col, text_col)
-    spans = repeats.repeated_spans(rows, units, keep_first=True, chunk=chunk)
+    spans = repeats.repeated_spans(rows, units, keep_first=True, chunk=chunk, group=group)
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return repeats.with_spans(rows, spans).select("id", "text", "spans").mapInArrow(lambda it: _kept(it, with_text), schema)

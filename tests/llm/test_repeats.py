@@ -68,7 +68,7 @@ def corpus(seed, n=60, vocabulary=400):
 def test_bytes_against_plain_code(spark, seed, length, chunk):
     docs = corpus(seed)
     table = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicate(table, length=length, chunk=chunk).collect()}
+    got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicate(table, length=length, chunk=chunk, group=chunk // 4).collect()}
     assert got == plain_suffix(docs, length)
 
 
@@ -76,7 +76,7 @@ def test_bytes_against_plain_code(spark, seed, length, chunk):
 def test_words_against_plain_code(spark, seed, length, chunk):
     docs = corpus(seed)
     table = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    got = {r.id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.deduplicate(table, length=length, chunk=chunk).collect()}
+    got = {r.id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.deduplicate(table, length=length, chunk=chunk, group=chunk // 4).collect()}
     assert got == plain_words(docs, length)
 
 
@@ -86,9 +86,9 @@ def test_hot_anchor_in_one_batch_is_settled_alike(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     docs = [(i, " ".join(f"w{rnd.randrange(10**6)}" for _ in range(20)) + " " + passage + " " + " ".join(f"w{rnd.randrange(10**6)}" for _ in range(20))) for i in range(300)]
     table = spark.createDataFrame(docs, "doc_id long, text string").coalesce(2)
-    got = {r.id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.deduplicate(table, chunk=32).collect()}
+    got = {r.id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.deduplicate(table, chunk=32, group=10).collect()}
     assert got == plain_words(docs, 35)
-    got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicate(table, chunk=32).collect()}
+    got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicate(table, chunk=32, group=10).collect()}
     assert got == plain_suffix(docs, 100)
 
 
