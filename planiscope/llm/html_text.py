@@ -11,11 +11,13 @@ footer, forms, adverts, comments and so on) never count.
 from __future__ import annotations
 
 import html as _html
+import json
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,16 +59,26 @@ class Page:
     url: str | None
     host: str
     path: str
-    html: str
-    lines: list[Line] = field(default_factory=list)
-    contained: bool = False
+    lines: list[Line]
+    packed: bytes = b""
 
     @classmethod
     def of(cls, page_id: int | None, url: str | None, host: str, path: str, html: str | None) -> Page:
-        page = cls(page_id, url, host, path, html or "")
-        page.lines = lines_of(page.html)
-        page.contained = any(x.inside for x in page.lines)
-        return page
+        return cls(page_id, url, host, path, lines_of(html or ""))
+
+    @classmethod
+    def unpacked(cls, page_id: int | None, url: str | None, host: str, path: str, packed: bytes) -> Page:
+        return cls(page_id, url, host, path, [Line(*x) for x in json.loads(zstandard.decompress(packed))], packed)
+
+    @property
+    def contained(self) -> bool:
+        return any(x.inside for x in self.lines)
+
+
+def packed_lines(html: str | None) -> bytes:
+    """The lines of a page, compressed: what is shuffled and stored instead of the page."""
+    rows = [(x.text, x.inside, x.links) for x in lines_of(html or "")]
+    return zstandard.compress(json.dumps(rows, ensure_ascii=False).encode(), 3)
 
 
 def _says_other(tag: str, attrs: str, inside: bool) -> bool:
@@ -246,8 +258,8 @@ def main_text(page: Page, before: Page | None, after: Page | None) -> str:
     """Kept lines joined by two line feeds; before and after are the neighbours in the order of URLs."""
     near = [p for p in (before, after) if p is not None and p.host == page.host]
     near.sort(key=lambda p: _nearness(page, p), reverse=True)
-    own = [x.text for x in page.lines]
-    main = [i for i, x in enumerate(page.lines) if x.inside or not page.contained]
+    own, contained = [x.text for x in page.lines], page.contained
+    main = [i for i, x in enumerate(page.lines) if x.inside or not contained]
     gone: set[int] | None = None
     for p in near:
         same = shared(own, [x.text for x in p.lines])
@@ -259,7 +271,7 @@ def main_text(page: Page, before: Page | None, after: Page | None) -> str:
     for i in main:
         x = page.lines[i]
         linky = x.links >= 0.5
-        if page.contained:
+        if contained:
             drop = gone is not None and i in gone and linky
         else:
             drop = i in gone if gone is not None else linky
@@ -268,22 +280,30 @@ def main_text(page: Page, before: Page | None, after: Page | None) -> str:
     return "\n\n".join(keep)
 
 
-_ROWS = "page_id long, url string, text string, n_chars long, html string, host string, path string, part int, place long"
+_ROWS = "page_id long, url string, text string, n_chars long, lines binary, host string, path string, part int, place long"
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, 512):
+            part = b.slice(at, 512)
+            lines = pa.array([packed_lines(x) for x in part.column(4).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], lines], names=["page_id", "url", "host", "path", "lines"])
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages of a sorted partition with both neighbours at hand; those at its ends go on with their html."""
+    """Pages of a sorted partition with both neighbours at hand; those at its ends go on with their lines."""
     part = TaskContext.get().partitionId()
     window: list[Page] = []
     place = 0
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64())
+        types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.string(), pa.int32(), pa.int64())
         names = [x.split()[0] for x in _ROWS.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     def raw(p: Page, at: int) -> tuple:
-        return (p.page_id, p.url, None, None, p.html, p.host, p.path, part, at)
+        return (p.page_id, p.url, None, None, p.packed, p.host, p.path, part, at)
 
     def done(p: Page, before: Page, after: Page) -> tuple:
         text = main_text(p, before, after)
@@ -292,8 +312,8 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pages = 0
     for b in batches:
         rows = []
-        for page_id, url, html, host, path in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            window.append(Page.of(page_id, url, host, path, html))
+        for page_id, url, host, path, lines in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            window.append(Page.unpacked(page_id, url, host, path, lines))
             pages += 1
             place += 1
             if pages <= 2:  # the first, and the second as its neighbour
@@ -335,8 +355,8 @@ def _stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.clear()
 
     for b in batches:
-        for page_id, url, html, host, path, part, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            window.append((Page.of(page_id, url, host, path, html), part, at))
+        for page_id, url, lines, host, path, part, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            window.append((Page.unpacked(page_id, url, host, path, lines), part, at))
             if len(window) == 3:
                 settle(window)
                 window.pop(0)
@@ -358,14 +378,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"),
         F.col(url_col).cast("string").alias("url"),
-        F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"),
         F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)).alias("host"),
         F.regexp_replace(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1), r"(\.html?|/)$", "").alias("path"),
-    )
+        F.col(html_col).cast("string").alias("html"),
+    ).mapInArrow(_parse, "page_id long, url string, host string, path string, lines binary")
     order = ["host", "path", "page_id", "url"]
     sorted_rows = rows.repartitionByRange(partitions(pages), *order).sortWithinPartitions(*order)
     found = stored(sorted_rows.mapInArrow(_walk, _ROWS), "pages")
-    ends = found.filter("html is not null").select("page_id", "url", "html", "host", "path", "part", "place")
+    ends = found.filter("lines is not null").select("page_id", "url", "lines", "host", "path", "part", "place")
     # some four pages per partition, whatever the input
     rest = ends.coalesce(1).sortWithinPartitions("part", "place").mapInArrow(_stitch, "page_id long, url string, text string, n_chars long")
-    return found.filter("html is null").select("page_id", "url", "text", "n_chars").unionByName(rest)
+    return found.filter("lines is null").select("page_id", "url", "text", "n_chars").unionByName(rest)
