@@ -11,6 +11,9 @@ from ..functions import metrics
 from . import cells as cell_ops
 from .cells import HalfSpace
 
+#: Half-spaces up to which families are joined up on the driver.
+DRIVER_BANK = 4096
+
 HALF_SPACES = "hs_id int, plane_id string, oriented_id string, feature int, threshold double, side int, n array<double>, b double"
 
 
@@ -60,12 +63,11 @@ def confusion(cells: DataFrame, size: int) -> DataFrame:
     """(hs_id, y, tp, fp, fn, tn) of every half-space of the bank and every class, from the cell histogram."""
     inside = cell_ops.membership(cells, size)
     totals = cells.groupBy("y").agg(F.sum("cnt").alias("pos"))
-    whole = F.sum("pos").over(Window.partitionBy())
-    classes = totals.select("y", "pos", whole.alias("n"))
-    spaces = cells.sparkSession.range(size).select(F.col("id").cast("int").alias("hs_id"))
+    classes = totals.select("y", "pos", F.sum("pos").over(Window.partitionBy()).alias("n"))
+    spaces = cells.sparkSession.range(0, size, 1, 1).select(F.col("id").cast("int").alias("hs_id"))
     grid = spaces.crossJoin(F.broadcast(classes))  # a bank of hundreds by the classes
-    region = inside.groupBy("k").agg(F.sum("cnt").alias("region"))
-    out = grid.join(inside.withColumnRenamed("k", "hs_id"), ["hs_id", "y"], "left").join(region.withColumnRenamed("k", "hs_id"), "hs_id", "left").na.fill(0, ["cnt", "region"])
+    out = grid.join(F.broadcast(inside.withColumnRenamed("k", "hs_id")), ["hs_id", "y"], "left").na.fill(0, ["cnt"])
+    out = out.withColumn("region", F.sum("cnt").over(Window.partitionBy("hs_id")))
     tp, fp = F.col("cnt"), F.col("region") - F.col("cnt")
     fn = F.col("pos") - F.col("cnt")
     return out.select("hs_id", "y", tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), (F.col("n") - tp - fp - fn).alias("tn"))
@@ -135,7 +137,25 @@ def region_jaccard(cells: DataFrame, size: int) -> DataFrame:
 
 
 def families(ids: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(hs_id, family): family is the smallest id that edges reach; labels spread by min until none changes."""
+    """(hs_id, family): family is the smallest id that edges reach.
+
+    A bank of up to DRIVER_BANK half-spaces, which is a list on the driver to begin with, is joined up there; of a
+    larger one labels spread by min until none changes.
+    """
+    found = ids.limit(DRIVER_BANK + 1).collect()
+    if len(found) <= DRIVER_BANK:
+        label = {r["hs_id"]: r["hs_id"] for r in found}
+
+        def root(x: int) -> int:
+            while label[x] != x:
+                label[x] = label[label[x]]
+                x = label[x]
+            return x
+
+        for e in edges.toLocalIterator():
+            x, y = root(e["a"]), root(e["b"])
+            label[max(x, y)] = min(x, y)
+        return ids.sparkSession.createDataFrame([(x, root(x)) for x in label], "hs_id int, family int")
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).cache()
     labels = ids.select("hs_id", F.col("hs_id").alias("family"))
     for _ in range(rounds):

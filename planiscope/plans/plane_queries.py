@@ -44,7 +44,7 @@ def bank(spark: SparkSession, sf_dir: str):
 
 def scored(spark: SparkSession, sf_dir: str):
     s, hs = bank(spark, sf_dir)
-    cells = cell_ops.histogram(s, [h.column(FEATURES) for h in hs])
+    cells = cell_ops.histogram(s, [h.column(FEATURES) for h in hs]).cache()
     return hs, cells, p.with_metrics(p.confusion(cells, len(hs)))
 
 

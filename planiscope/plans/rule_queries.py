@@ -32,15 +32,14 @@ RCHAIN = CHAIN + _RULES
 
 def prepared(spark: SparkSession, sf_dir: str):
     hs, cells, rows = scored(spark, sf_dir)
-    cells = cells.cache()
     spaces = p.half_space_table(spark, hs).select("hs_id", "feature", "side")
-    cand = r.candidates(p.guardrails(rows).join(spaces, "hs_id"))
+    cand = r.candidates(p.guardrails(rows).join(spaces, "hs_id")).cache()
     return cand, cells, spaces.select(F.col("hs_id").alias("k"), "feature")
 
 
 def pool_of(spark: SparkSession, sf_dir: str):
     cand, cells, features = prepared(spark, sf_dir)
-    return r.described(r.supported(r.evaluate(r.conjunctions(cand, 2), cells)), features), cells
+    return r.described(r.supported(r.evaluate(r.conjunctions(cand, 2), cells)), features).cache(), cells
 
 
 def accepted_of(spark: SparkSession, sf_dir: str):
@@ -108,9 +107,9 @@ def r10_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(RCHAIN + """, best AS (SELECT *, row_number() OVER (PARTITION BY target, dims ORDER BY round(f1, 9) DESC, round(lift_precision, 9) DESC, size DESC, cost, rule_key) AS rk FROM ded),
 pr AS (SELECT a.target, a.rule_key AS key_a, b.rule_key AS key_b, a.ks AS ka, b.ks AS kb, greatest(a.f1, b.f1) AS bf, greatest(a.recall, b.recall) AS br, a.baseline, a.positives FROM best a JOIN best b ON a.target = b.target AND a.dims = b.dims AND a.rk < b.rk AND b.rk <= 10),
 un AS (SELECT target, key_a, key_b, rid, y, count(*) AS c FROM (SELECT pr.target, key_a, key_b, h.rid, h.y FROM pr JOIN hits h ON h.target = pr.target AND h.ks = pr.ka UNION ALL SELECT pr.target, key_a, key_b, h.rid, h.y FROM pr JOIN hits h ON h.target = pr.target AND h.ks = pr.kb) GROUP BY 1, 2, 3, 4, 5),
-ua AS (SELECT target, key_a, key_b, count(*) AS size, count(*) FILTER (WHERE c = 2) AS both, count(*) FILTER (WHERE y = target) AS tp FROM un GROUP BY 1, 2, 3),
+ua AS (SELECT target, key_a, key_b, count(*) AS size, count(*) FILTER (WHERE c = 2) AS n_both, count(*) FILTER (WHERE y = target) AS tp FROM un GROUP BY 1, 2, 3),
 um AS (SELECT ua.*, bf, br, baseline, tp / size::DOUBLE AS precision, tp / positives::DOUBLE AS recall, 2 * (tp / size::DOUBLE) * (tp / positives::DOUBLE) / (tp / size::DOUBLE + tp / positives::DOUBLE + 1e-12) AS f1 FROM ua JOIN pr USING (target, key_a, key_b))
-SELECT target, key_a, key_b, size, tp, round(both / size::DOUBLE, 6) AS iou FROM um WHERE both / size::DOUBLE <= 0.25 AND size >= 8 AND (f1 >= bf + 0.01 OR (recall >= br + 0.03 AND precision >= baseline)) AND precision / baseline >= 1""")
+SELECT target, key_a, key_b, size, tp, round(n_both / size::DOUBLE, 6) AS iou FROM um WHERE n_both / size::DOUBLE <= 0.25 AND size >= 8 AND (f1 >= bf + 0.01 OR (recall >= br + 0.03 AND precision >= baseline)) AND precision / baseline >= 1""")
 def r11_unions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules, cells = accepted_of(spark, sf_dir)
     return r.unions(r.deduplicated(rules, cells), cells).select("target", "key_a", "key_b", "size", "tp", *r6("iou"))
