@@ -1 +1,90 @@
-"""Queries."""
+"""Queries over report tables. The rule rows come from `part`, each part standing for a rule with its metrics."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import planes as p
+from ..operators import reporting as rp
+from .catalog import query
+from .inputs import r6, table
+from .plane_queries import RCHAIN, families_of, scored
+
+_R = """r AS (SELECT 'rg' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS region_id, CAST(p_partkey % 3 AS INTEGER) AS class_id, CAST(p_partkey % 4 + 1 AS INTEGER) AS num_dims, p_size % 10 / 10.0::DOUBLE AS f1, CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE p_size / 20.0::DOUBLE END AS lift,
+ p_partkey % 7 / 7.0::DOUBLE AS precision, p_partkey % 5 / 5.0::DOUBLE AS recall, CAST(p_partkey % 100 AS BIGINT) AS size, p_partkey % 6 = 0 AS is_pareto, p_partkey % 4 + 0.5::DOUBLE AS cost FROM part)"""
+_TOP = ", t AS (SELECT *, row_number() OVER (PARTITION BY class_id ORDER BY is_pareto DESC, round(f1, 9) DESC, round(lift, 9) DESC NULLS LAST, size DESC, cost, region_id) AS rank FROM r QUALIFY rank <= 5)"
+
+
+def rule_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(
+        F.format_string("rg%06d", k).alias("region_id"), (k % 3).cast("int").alias("class_id"), (k % 4 + 1).cast("int").alias("num_dims"), (F.col("p_size") % 10 / 10.0).alias("f1"), F.when(k % 13 != 0, F.col("p_size") / 20.0).alias("lift"),
+        (k % 7 / 7.0).alias("precision"), (k % 5 / 5.0).alias("recall"), (k % 100).cast("long").alias("size"), (k % 6 == 0).alias("is_pareto"), (k % 4 + 0.5).cast("double").alias("cost"),
+    )
+
+
+@query(f"WITH {_R}{_TOP} SELECT class_id, rank, region_id, round(f1, 6) AS f1, round(lift, 6) AS lift, size AS support, round(size / 1000.0, 6) AS support_frac FROM t")
+def p02_metrics_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp.metrics_table(rule_rows(spark, sf_dir), 5, 1000).select("class_id", "rank", "region_id", *r6("f1", "lift"), "support", *r6("support_frac"))
+
+
+@query(f"WITH {_R}{_TOP}, c AS (SELECT class_id, avg(f1) AS f, avg(lift) AS l FROM t GROUP BY class_id) SELECT round(avg(f), 6) AS mean_f1, round(avg(l), 6) AS mean_lift FROM c")
+def p03_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp.averages(rp.metrics_table(rule_rows(spark, sf_dir), 5, 1000)).select(*r6("mean_f1", "mean_lift"))
+
+
+@query("""WITH c AS (SELECT c_mktsegment AS region_id, CAST(c_nationkey % 5 AS INTEGER) AS y, count(*) AS pos FROM customer GROUP BY 1, 2), s AS (SELECT *, pos / sum(pos) OVER (PARTITION BY region_id) AS share, row_number() OVER (PARTITION BY region_id ORDER BY pos DESC, y) AS rk FROM c)
+SELECT region_id, round(max(share), 6) AS purity, round(sum(-share * log2(share)), 6) AS entropy, string_agg(CAST(y AS VARCHAR), ',' ORDER BY rk) FILTER (WHERE rk <= 3) AS classes FROM s GROUP BY region_id""")
+def p05_class_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("region_id"), (F.col("c_nationkey") % 5).alias("y")).agg(F.count("*").alias("pos"))
+    return rp.class_mix(c).select("region_id", *r6("purity", "entropy"), "classes")
+
+
+@query(f"WITH {_R} SELECT CAST(num_dims AS VARCHAR) AS region_id, " + ", ".join(f"round(max(f1) FILTER (WHERE class_id = {c}), 6) AS f1_{c}, round(max(lift) FILTER (WHERE class_id = {c}), 6) AS lift_{c}" for c in range(3)) + " FROM r GROUP BY num_dims")
+def p06_selection_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = rp.selection_matrix(rule_rows(spark, sf_dir).withColumn("region_id", F.col("num_dims").cast("string")))
+    return m.select("region_id", *[F.round(f"{c}_{k}", 6).alias(f"{k}_{c}") for c in range(3) for k in ("f1", "lift")])
+
+
+@query("SELECT p_partkey, CAST(p_size % 4 AS INTEGER) AS dim, CASE WHEN p_size % 2 = 0 THEN '≤' ELSE '≥' END AS op, round(p_retailprice, 2) AS value FROM part")
+def p07_parsed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit(" x"), (F.col("p_size") % 4).cast("string"), F.when(F.col("p_size") % 2 == 0, F.lit("  ≤ ")).otherwise(F.lit("  ≥ ")), F.round("p_retailprice", 2).cast("string"), F.lit(" "))
+    return table(spark, sf_dir, "part").select("p_partkey", rp.parsed(rp.cleaned(text)).alias("c")).select("p_partkey", "c.dim", "c.op", "c.value")
+
+
+@query(f"WITH {_R}, m AS (SELECT class_id, min(lift) AS least FROM r GROUP BY class_id) SELECT r.class_id, round(max(exp((ln(f1) + ln(lift) + ln(least)) / 3)), 6) AS score FROM r JOIN m ON m.class_id = r.class_id WHERE f1 > 0 AND lift > 0 AND least > 0 GROUP BY r.class_id")
+def p08_compass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rule_rows(spark, sf_dir)
+    least = rows.groupBy("class_id").agg(F.min("lift").alias("min_lift"))
+    return rp.compass(rows.join(F.broadcast(least), "class_id")).select("class_id", *r6("score"))
+
+
+@query(f"WITH {_R} SELECT num_dims, region_id, CASE WHEN class_id < 2 THEN 'a' ELSE 'b' END AS origin FROM r WHERE class_id < 2 OR class_id > 0")
+def p09_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rule_rows(spark, sf_dir).select("num_dims", "region_id", "class_id")
+    a, b = rows.filter("class_id < 2").withColumn("origin", F.lit("a")), rows.filter("class_id > 0").withColumn("origin", F.lit("b"))
+    return rp.merged(a, b).select("num_dims", "region_id", "origin")
+
+
+@query(RCHAIN + "SELECT count(*) AS families, round(avg(n), 6) AS mean_size, max(n) AS max_size FROM (SELECT family, count(*) AS n FROM fam GROUP BY family)")
+def k13_family_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hs, cells, _ = scored(spark, sf_dir)
+    assert p
+    return rp.family_sizes(families_of(spark, hs, cells)).select("families", *r6("mean_size"), "max_size")
+
+
+@query(f"WITH {_R} SELECT class_id, round(max(f1), 6) AS best_f1, round(max(lift), 6) AS best_lift FROM r GROUP BY class_id")
+def k14_best_per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_rows(spark, sf_dir).groupBy("class_id").agg(F.round(F.max("f1"), 6).alias("best_f1"), F.round(F.max("lift"), 6).alias("best_lift"))
+
+
+@query(f"WITH {_R} SELECT count(*) AS regions, round(max(f1), 6) AS best_f1, round(max(precision), 6) AS best_precision FROM r")
+def k15_region_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_rows(spark, sf_dir).agg(F.count("*").alias("regions"), F.round(F.max("f1"), 6).alias("best_f1"), F.round(F.max("precision"), 6).alias("best_precision"))
+
+
+@query("SELECT CASE WHEN GROUPING(c_mktsegment) = 1 THEN 'Total' ELSE c_mktsegment END AS method, count(*) AS n FROM customer GROUP BY ROLLUP (c_mktsegment)")
+def k17_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("method"), F.lit(1).alias("n"))
+    return rp.with_total(rows, "method", "n")
