@@ -158,13 +158,14 @@ def change_points(segments: DataFrame, predict: Callable, cells: int = 128, step
         import numpy as np
         import pandas as pd
 
-        grid = (np.arange(cells) + 0.5) / cells
+        # the ends are labelled too, else a change within half a cell of them would be missed
+        grid = np.concatenate([[0.0], (np.arange(cells) + 0.5) / cells, [1.0]])
         for d in batches:
             if not len(d):
                 continue
             a, b = _ends(d)
             points = a[:, None, :] + (b - a)[:, None, :] * grid[None, :, None]
-            y = predict(points.reshape(-1, a.shape[1])).argmax(axis=1).reshape(len(d), cells)
+            y = predict(points.reshape(-1, a.shape[1])).argmax(axis=1).reshape(len(d), len(grid))
             row, i = np.nonzero(y[:, 1:] != y[:, :-1])
             lo, hi, left = grid[i], grid[i + 1], y[row, i]
             for _ in range(steps if len(row) else 0):

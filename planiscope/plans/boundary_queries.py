@@ -163,3 +163,24 @@ def f02_weighted_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def f03_tls_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.tls_planes(b.weighted_moments(points(spark, sf_dir), 3))
+
+
+@query()
+def f23_frontier_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import surfaces
+
+    return surfaces.frontier_planes(points(spark, sf_dir).select("y0", "y1", "x"))
+
+
+@query()
+def f04_quadrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import surfaces
+
+    return surfaces.surfaces(points(spark, sf_dir).select("y0", "y1", "x", "w"), 2)
+
+
+@query()
+def f05_cubics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import surfaces
+
+    return surfaces.surfaces(points(spark, sf_dir).select("y0", "y1", "x", "w"), 3)

@@ -177,3 +177,40 @@ SELECT id, size, score, row_number() OVER (ORDER BY turn, best DESC, size) AS pl
 def e05_diverse_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 4 + 1).alias("size"), F.col("p_retailprice").alias("score"))
     return f.diverse_pick(rows, 12)
+
+
+@query()
+def e04_cross_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import evaluation
+
+    key = F.xxhash64(*FEATURES)
+    part = f.adaptive_sample(samples(spark, sf_dir).withColumn("row_id", key), "row_id", len(FEATURES))
+    return evaluation.cross_validated(part, [["x0", "x1"], ["x1", "x2"], ["x0", "x2", "x3"]])
+
+
+@query()
+def e07_explore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import evaluation
+
+    return evaluation.explore(samples(spark, sf_dir).withColumn("row_id", F.xxhash64(*FEATURES)), FEATURES, keep=5)
+
+
+@query()
+def s01_corner_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import generators
+
+    return generators.corner_classes(spark).groupBy("y").agg(F.count("*").alias("n"), *[F.round(F.avg(f"x{i}"), 3).alias(f"m{i}") for i in range(1, 5)])
+
+
+@query()
+def s02_high_dimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import generators
+
+    return generators.high_dimensional(spark).groupBy("y").agg(F.count("*").alias("n"), F.round(F.avg("f1"), 3).alias("m1"))
+
+
+@query()
+def s08_passengers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import generators
+
+    return generators.passengers(spark)
