@@ -214,3 +214,92 @@ def s08_passengers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources import generators
 
     return generators.passengers(spark)
+
+
+_CHI = "(VALUES ('a', 9.0, 0.3, 4), ('b', 7.0, 0.1, 9), ('c', 5.0, 0.2, 2), ('d', 1.0, 0.4, 3)) t(feature, chi2, mi, \"distinct\")"
+
+
+def fixed_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("a", 9.0, 0.3, 4), ("b", 7.0, 0.1, 9), ("c", 5.0, 0.2, 2), ("d", 1.0, 0.4, 3)], "feature string, chi2 double, mi double, distinct int")
+
+
+@query(f"WITH p AS (SELECT * FROM {_CHI} QUALIFY row_number() OVER (ORDER BY chi2 DESC, feature) <= 3) SELECT a.feature || ',' || b.feature AS features FROM p a JOIN p b ON a.feature < b.feature UNION ALL SELECT a.feature || ',' || b.feature || ',' || c.feature FROM p a JOIN p b ON a.feature < b.feature JOIN p c ON b.feature < c.feature")
+def g02_chi2_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import candidates
+
+    return candidates.chi2_sets(fixed_table(spark), k=3).select(F.concat_ws(",", "features").alias("features"))
+
+
+@query(f"WITH p AS (SELECT * FROM {_CHI}), s AS (SELECT a.feature || ',' || b.feature AS features, a.chi2 + b.chi2 + 0.45 * (a.mi + b.mi) + 0.12 * (ln(1 + a.\"distinct\") + ln(1 + b.\"distinct\")) AS score FROM p a JOIN p b ON a.feature < b.feature) SELECT features FROM s QUALIFY row_number() OVER (ORDER BY round(score, 9) DESC, features) <= 4")
+def g02b_chi2_guided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import candidates
+
+    return candidates.chi2_guided(fixed_table(spark), (2,), keep=4).select(F.concat_ws(",", "features").alias("features"))
+
+
+@query(f"WITH {SAMPLES_SQL}, k AS (SELECT *, x0 / 50 AS u, x0 / 50 + x2 AS v FROM s), c AS (SELECT 'u' AS a, 'v' AS b, corr(u, v) AS r FROM k UNION ALL SELECT 'u', 'x3', corr(u, x3) FROM k UNION ALL SELECT 'v', 'x3', corr(v, x3) FROM k) SELECT a || ',' || b AS features FROM c WHERE abs(r) >= 0.55")
+def g03_correlated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import candidates
+
+    rows = samples(spark, sf_dir).select((F.col("x0") / 50).alias("u"), (F.col("x0") / 50 + F.col("x2")).alias("v"), "x3")
+    return candidates.correlated_pairs(f.correlations(rows, ["u", "v", "x3"])).select(F.concat_ws(",", "features").alias("features"))
+
+
+@query(f"WITH {SAMPLES_SQL}, m AS (SELECT avg(x0) AS a, stddev_pop(x0) AS b, avg(x1) AS c, stddev_pop(x1) AS d FROM s) SELECT 'x0' AS a, 'x0' AS b, round(sum(CASE WHEN y = 1 THEN 1 ELSE 0.5 END * pow((x0 - m.a) / m.b, 2)), 3) AS g FROM s, m UNION ALL SELECT 'x0', 'x1', round(sum(CASE WHEN y = 1 THEN 1 ELSE 0.5 END * (x0 - m.a) / m.b * (x1 - m.c) / m.d), 3) FROM s, m UNION ALL SELECT 'x1', 'x1', round(sum(CASE WHEN y = 1 THEN 1 ELSE 0.5 END * pow((x1 - m.c) / m.d, 2)), 3) FROM s, m")
+def g10_weighted_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import candidates
+
+    return candidates.weighted_gram(samples(spark, sf_dir), ["x0", "x1"], F.when(F.col("y") == 1, 1.0).otherwise(0.5)).select("a", "b", F.round("g", 3).alias("g"))
+
+
+@query()
+def g04_forest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import candidates
+
+    part = f.adaptive_sample(samples(spark, sf_dir).withColumn("row_id", F.xxhash64(*FEATURES)), "row_id", 4)
+    return candidates.forest_paths(part, FEATURES, trees=8, depth=3)
+
+
+@query()
+def g05_leverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import candidates
+
+    return spark.createDataFrame(candidates.leverage(samples(spark, sf_dir), FEATURES, 2), "feature string, leverage double")
+
+
+@query()
+def g11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import candidates
+
+    rows = samples(spark, sf_dir).withColumn("row_id", F.xxhash64(*FEATURES))
+    return candidates.minhash_sets(rows, {"x0_high": F.col("x0") > 20, "x0_higher": F.col("x0") > 21, "x2_high": F.col("x2") > 0.05}, band=2)
+
+
+_ASM = "c(m, f) AS (SELECT * FROM (VALUES ('one', 'a,b'), ('one', 'a,c'), ('two', 'a,b'), ('three', 'b,c'), ('three', 'a,b')))"
+
+
+def fixed_sets(spark: SparkSession) -> DataFrame:
+    from ..operators import candidates
+
+    rows = {"one": [["a", "b"], ["a", "c"]], "two": [["a", "b"]], "three": [["b", "c"], ["a", "b"]]}
+    return candidates.assembled({k: spark.createDataFrame([(s,) for s in v], "features array<string>") for k, v in rows.items()})
+
+
+@query(f"WITH {_ASM} SELECT f AS features, string_agg(m, ',' ORDER BY m) AS methods, count(*) AS n_methods FROM c GROUP BY f")
+def e01_assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixed_sets(spark).select(F.concat_ws(",", "features").alias("features"), F.concat_ws(",", "methods").alias("methods"), "n_methods")
+
+
+@query(f"WITH {_ASM} SELECT m AS method, count(*) AS candidates, count(*) FILTER (WHERE f IN ('a,b', 'b,c')) AS top_hits FROM c GROUP BY m")
+def e06_annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import candidates
+
+    reports = spark.createDataFrame([(["a", "b"], 0.9), (["b", "c"], 0.8), (["a", "c"], 0.1)], "features array<string>, score double")
+    return candidates.annotated(fixed_sets(spark), reports, 2)
+
+
+@query(f"WITH {_ASM} SELECT f AS features, " + ", ".join(f"CASE WHEN count(*) FILTER (WHERE m = '{m}') > 0 THEN 'yes' ELSE 'no' END AS {m}" for m in ("one", "two", "three")) + " FROM c GROUP BY f")
+def k16_method_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import candidates
+
+    return candidates.method_matrix(fixed_sets(spark), ["one", "two", "three"])
