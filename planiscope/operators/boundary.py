@@ -236,3 +236,60 @@ def tls_planes(moments: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["y0", "y1", "n", "b"])
 
     return moments.mapInPandas(fit, "y0 int, y1 int, n array<double>, b double")
+
+
+def far_pairs(seeds: DataFrame, a: int, b: int, k: int = 2, quantile: float = 0.8, seed: int = 0, key: str = "row_id", features: str = "features") -> DataFrame:
+    """(i, j, d): for each seed of class a up to k seeds of class b beyond the distance quantile, drawn by a hash."""
+    side = lambda c, i, x: seeds.filter(F.col("label") == c).select(F.col(key).alias(i), F.col(features).alias(x))
+    pairs = side(a, "i", "xi").join(side(b, "j", "xj")).select("i", "j", g.norm(g.minus(F.col("xi"), F.col("xj"))).alias("d"))
+    cut = pairs.agg(F.percentile("d", F.lit(quantile)).alias("cut"))
+    far = pairs.join(F.broadcast(cut)).filter(F.col("d") >= F.col("cut") - 1e-12).drop("cut")
+    order = Window.partitionBy("i").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "i", "j")))
+    return far.withColumn("rk", F.row_number().over(order)).filter(F.col("rk") <= k).drop("rk")
+
+
+def constrained_pick(candidates: list[dict], quotas: dict[tuple[int, int], int], per_origin: int = 2, per_destination: int = 2) -> list[dict]:
+    """Candidates (a, b, i, j, score) chosen best first under caps: the scarcest pair of classes is served first.
+
+    An origin serves a pair once and `per_origin` times in all, a destination `per_destination` times; pairs left short
+    are filled again without the caps. A few thousand rows at most, by their quotas, so this runs on the driver.
+    """
+    by: dict[tuple[int, int], list[dict]] = {p: [] for p in quotas}
+    for c in candidates:
+        by.setdefault((c["a"], c["b"]), []).append(c)
+    out, origin, goal = [], {}, {}
+    for pair in sorted(quotas, key=lambda p: (len(by[p]) - quotas[p], p)):
+        ranked = sorted(by[pair], key=lambda c: (-c["score"], c["i"], c["j"]))
+        own, seen = [], set()
+        for capped in (True, False):
+            for c in ranked:
+                if len(own) >= quotas[pair]:
+                    break
+                if any(c is o for o in own) or (capped and (c["i"] in seen or origin.get(c["i"], 0) >= per_origin or goal.get(c["j"], 0) >= per_destination)):
+                    continue
+                own.append(c)
+                seen.add(c["i"])
+                origin[c["i"]], goal[c["j"]] = origin.get(c["i"], 0) + 1, goal.get(c["j"], 0) + 1
+        out += own
+    return out
+
+
+def frontier_sets(records: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """(kind, y0, y1, x): interior points (one class) and frontier points, each once within the tolerance."""
+    kind = F.when(F.col("y0") == F.col("y1"), "interior").otherwise("frontier")
+    rows = records.select(kind.alias("kind"), "y0", "y1", F.col("x1").alias("x"), F.transform("x1", lambda v: F.round(v / tolerance).cast("long")).alias("_k"))
+    return rows.groupBy("kind", "y0", "y1", "_k").agg(F.min("x").alias("x")).drop("_k")
+
+
+def segment_arrays(records: DataFrame) -> DataFrame:
+    """(a, b, u, mid, length) of segments that have a length."""
+    d = g.minus(F.col("x1"), F.col("x0"))
+    rows = records.select(F.col("x0").alias("a"), F.col("x1").alias("b"), d.alias("_d"), g.norm(d).alias("length")).filter("length > 1e-12")
+    return rows.select("a", "b", F.transform("_d", lambda v: v / F.col("length")).alias("u"), g.lerp(F.col("a"), F.col("b"), F.lit(0.5)).alias("mid"), "length")
+
+
+def residual_stats(points: DataFrame, n: list[float], b: float) -> DataFrame:
+    """Mean, median, median absolute deviation and RMSE of distances from a plane."""
+    rows = points.select(F.abs(g.residual(F.col("x"), g.vector(n), F.lit(b))).alias("r"))
+    med = rows.agg(F.median("r").alias("med"))
+    return rows.crossJoin(F.broadcast(med)).agg(F.avg("r").alias("mean"), F.median("r").alias("median"), F.median(F.abs(F.col("r") - F.col("med"))).alias("mad"), F.sqrt(F.avg(F.col("r") * F.col("r"))).alias("rmse"))  # one row joined

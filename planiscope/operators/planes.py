@@ -252,3 +252,68 @@ def inequality_column(feature: Column, threshold: Column, side: Column) -> Colum
 
 def class_pairs(classes: list[int]) -> list[tuple[int, int]]:
     return list(itertools.combinations(sorted(classes), 2))
+
+
+def sliced(n: list[float], b: float, dims: list[int], reference: list[float]) -> tuple[list[float], float]:
+    """A plane on some dimensions only: the others are fixed at a reference point, which moves the offset."""
+    keep = set(dims)
+    return [w if j in keep else 0.0 for j, w in enumerate(n)], b + sum(w * reference[j] for j, w in enumerate(n) if j not in keep)
+
+
+def sketched(samples: DataFrame, bank: list[HalfSpace], features: list[str], key: str, share: float = 0.1, label: str = "y", **guard) -> DataFrame:
+    """Guardrails on a hash sample of rows, then again on all rows for the survivors: two scans, the first one short."""
+    part = samples.filter(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(share * 1_000_000))
+    sketch = with_metrics(confusion(cell_ops.histogram(part, [h.column(features) for h in bank], label), len(bank)))
+    alive = sorted({r["hs_id"] for r in guardrails(sketch, **guard).select("hs_id").distinct().collect()})  # ids of the bank
+    if not alive:
+        return guardrails(sketch, **guard).limit(0)
+    own = [bank[i] for i in alive]
+    full = with_metrics(confusion(cell_ops.histogram(samples, [h.column(features) for h in own], label), len(own)))
+    ids = samples.sparkSession.createDataFrame(list(enumerate(alive)), "k int, bank_id int")
+    return guardrails(full, **guard).join(F.broadcast(ids), F.col("hs_id") == F.col("k")).drop("k", "hs_id").withColumnRenamed("bank_id", "hs_id")
+
+
+def greedy_conjunction(cells: DataFrame, size: int, target: int, most: int = 4, min_recall: float = 0.85, min_frac: float = 0.2, min_gain: float = 1e-3) -> list[int]:
+    """Predicates added one by one while the balanced accuracy of their conjunction grows and recall and size hold."""
+
+    def tried(chosen: list[int]) -> list[tuple[float, float, int, int]]:
+        both = F.lit(True)
+        for c in chosen:
+            both = both & cell_ops.holds(c)
+        inside = cell_ops.membership(cells.filter(both), size)
+        rows = inside.groupBy("k").agg(F.sum(F.when(F.col("y") == target, F.col("cnt")).otherwise(0)).alias("tp"), F.sum("cnt").alias("n")).collect()
+        return [(0.5 * (r["tp"] / pos + (neg - r["n"] + r["tp"]) / max(1, neg)), r["tp"] / pos, r["n"], r["k"]) for r in rows]
+
+    totals = cells.agg(F.sum(F.when(F.col("y") == target, F.col("cnt")).otherwise(0)).alias("pos"), F.sum("cnt").alias("n")).first()
+    pos, neg = max(1, totals["pos"] or 0), (totals["n"] or 0) - (totals["pos"] or 0)
+    chosen: list[int] = []
+    best, region = 0.0, totals["n"] or 0
+    while len(chosen) < most:
+        options = [o for o in tried(chosen) if o[3] not in chosen and o[1] >= min_recall and (not chosen or o[2] >= min_frac * region)]
+        if not options:
+            break
+        score, _, n, k = max(options, key=lambda o: (round(o[0], 9), -o[3]))
+        if score < best + min_gain:
+            break
+        chosen.append(k)
+        best, region = score, n
+    return chosen
+
+
+def with_perfect_clones(cand: DataFrame, least: float = 0.999) -> DataFrame:
+    """Candidates (plane_id, side, priority, precision) with the other side of near-perfect ones, just below them."""
+    clones = cand.filter(F.col("precision") >= least).withColumn("side", -F.col("side")).withColumn("priority", F.col("priority") - 1e-6)
+    return cand.withColumn("is_clone", F.lit(False)).unionByName(clones.withColumn("is_clone", F.lit(True)))
+
+
+def enriched(planes_: DataFrame, measured: DataFrame, metrics_: tuple[str, ...] = ("precision", "recall", "f1", "lift")) -> DataFrame:
+    """Fills metrics that a plane lacks from measured ones of the same id and class."""
+    m = measured.select("hs_id", "y", *[F.col(c).alias(f"_{c}") for c in metrics_])
+    return planes_.join(m, ["hs_id", "y"], "left").select("hs_id", "y", *[F.coalesce(c, f"_{c}").alias(c) for c in metrics_])
+
+
+def augmented(planes_: DataFrame, extra: DataFrame, least: int = 200) -> DataFrame:
+    """Planes, and of `extra` those with new oriented ids, in the order of these, until there are `least`."""
+    need = max(0, least - planes_.count())
+    new = extra.join(planes_.select("oriented_id"), "oriented_id", "left_anti")
+    return planes_.unionByName(new.orderBy("oriented_id").limit(need).select(planes_.columns))

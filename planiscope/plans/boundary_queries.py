@@ -184,3 +184,29 @@ def f05_cubics(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import surfaces
 
     return surfaces.surfaces(points(spark, sf_dir).select("y0", "y1", "x", "w"), 3)
+
+
+@query(f"WITH {_BASE}{_SEEDS}{_PAIRS}, ft AS (SELECT i, j, d FROM pr WHERE d >= (SELECT quantile_cont(d, 0.8) FROM pr) - 1e-12 QUALIFY row_number() OVER (PARTITION BY i ORDER BY md5('0:' || i || ':' || j)) <= 2) SELECT i, j, round(d, 6) AS d FROM ft")
+def b08_far_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.far_pairs(b.margin_seeds(rows(spark, sf_dir), 0, 1), 0, 1).select("i", "j", *r6("d"))
+
+
+@query(f"WITH {_BASE}{_REC} SELECT 'frontier' AS kind, CAST(y0 AS INTEGER) AS y0, CAST(y1 AS INTEGER) AS y1, count(DISTINCT [round(x1[1] / 1e-6), round(x1[2] / 1e-6), round(x1[3] / 1e-6)]) AS n FROM q GROUP BY y0, y1")
+def b21_frontier_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.frontier_sets(records(spark, sf_dir)).groupBy("kind", "y0", "y1").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_BASE}{_REC}{_MET} SELECT count(*) AS n, round(avg(delta_l2), 6) AS mean_length, round(avg((x0[1] + x1[1]) / 2), 6) AS mid0, round(avg((x1[1] - x0[1]) / delta_l2), 6) AS u0 FROM d1 WHERE delta_l2 > 1e-12")
+def f12_segment_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = b.segment_arrays(records(spark, sf_dir))
+    return s.agg(F.count("*").alias("n"), F.round(F.avg("length"), 6).alias("mean_length"), F.round(F.avg(F.element_at("mid", 1)), 6).alias("mid0"), F.round(F.avg(F.element_at("u", 1)), 6).alias("u0"))
+
+
+@query(f"WITH {_BASE}, r AS (SELECT abs(v[1] - 0.5 * v[2] + 0.02) AS r FROM e), m AS (SELECT quantile_cont(r, 0.5) AS med FROM r) SELECT round(avg(r), 6) AS mean, round(quantile_cont(r, 0.5), 6) AS median, round(quantile_cont(abs(r - med), 0.5), 6) AS mad, round(sqrt(avg(r * r)), 6) AS rmse FROM r, m")
+def f15_residual_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.residual_stats(rows(spark, sf_dir).select(F.col("features").alias("x")), [1.0, -0.5, 0.0], 0.02).select(*r6("mean", "median", "mad", "rmse"))
+
+
+@query(f"WITH {_BASE} SELECT vec_id, round(v[1] * 0.6 + v[2] * 0.8 - 0.1, 6) AS residual FROM e")
+def k01_plane_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(spark, sf_dir).select(F.col("row_id").alias("vec_id"), F.round(g.residual(F.slice("features", 1, 2), g.vector([0.6, 0.8]), F.lit(-0.1)), 6).alias("residual"))

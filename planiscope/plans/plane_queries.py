@@ -278,3 +278,46 @@ def h25_inequality_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def h26_prune_and_orient(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, hs = bank(spark, sf_dir)
     return selection.prune_and_orient(s, hs, FEATURES, tau=0.015).select("hs_id", "family", "target_class", *r6("score"))
+
+
+@query(CHAIN + "SELECT hs_id, y, round(score, 6) AS score FROM guard")
+def h13_sketch_then_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, hs = bank(spark, sf_dir)
+    keyed = s.withColumn("row_id", F.xxhash64(*FEATURES))
+    return p.sketched(keyed, hs, FEATURES, "row_id", share=1.0).select("hs_id", "y", *r6("score"))
+
+
+@query()
+def h24_greedy_conjunction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hs, cells, _ = scored(spark, sf_dir)
+    rows = [(t, i, k) for t in (0, 1, 2) for i, k in enumerate(p.greedy_conjunction(cells, len(hs), t))]
+    return spark.createDataFrame(rows, "target int, place int, hs_id int")
+
+
+@query(f"WITH {SAMPLES_SQL} SELECT round(0.02 * 0 + 3 + 10 * avg(x2), 6) AS b_eff FROM s WHERE y = 1")
+def r06_sliced_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mu = samples(spark, sf_dir).filter("y = 1").agg(*[F.avg(f).alias(f) for f in FEATURES]).first()
+    n, b = p.sliced([0.02, -1e-5, 10.0, 0.0], 3.0, [0, 1], [mu[f] for f in FEATURES])
+    assert n == [0.02, -1e-5, 0.0, 0.0]
+    return spark.createDataFrame([(round(b, 6),)], "b_eff double")
+
+
+@query(CHAIN + ", c AS (SELECT hs.plane_id, m.y, hs.side, m.precision, m.lift AS priority FROM guard m JOIN hs ON hs.hs_id = m.hs_id) SELECT plane_id, y, CAST(side AS INTEGER) AS side, round(priority, 6) AS priority, false AS is_clone FROM c UNION ALL SELECT plane_id, y, CAST(-side AS INTEGER), round(priority - 1e-6, 6), true FROM c WHERE precision >= 0.999")
+def r03_perfect_clones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hs, _, rows = scored(spark, sf_dir)
+    c = p.guardrails(rows).join(p.half_space_table(spark, hs).select("hs_id", "plane_id", "side"), "hs_id").select("plane_id", "y", "side", "precision", F.col("lift").alias("priority"))
+    return p.with_perfect_clones(c).select("plane_id", "y", "side", *r6("priority"), "is_clone")
+
+
+@query(CHAIN + "SELECT hs_id, y, round(CASE WHEN hs_id % 3 = 0 THEN 0.5 ELSE precision END, 6) AS precision, round(recall, 6) AS recall FROM met")
+def k09_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scored(spark, sf_dir)[2]
+    null = F.lit(None).cast("double")
+    lacking = rows.select("hs_id", "y", F.when(F.col("hs_id") % 3 == 0, 0.5).alias("precision"), null.alias("recall"), null.alias("f1"), null.alias("lift"))
+    return p.enriched(lacking, rows).select("hs_id", "y", *r6("precision", "recall"))
+
+
+@query(CHAIN + ", o AS (SELECT plane_id || CASE WHEN side > 0 THEN ':≤' ELSE ':≥' END AS oriented_id, hs_id FROM hs) SELECT oriented_id FROM o WHERE hs_id < 6 UNION ALL SELECT * FROM (SELECT oriented_id FROM o WHERE hs_id >= 6 ORDER BY oriented_id LIMIT 9)")
+def k10_augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = p.half_space_table(spark, bank(spark, sf_dir)[1])
+    return p.augmented(t.filter("hs_id < 6"), t, 15).select("oriented_id")

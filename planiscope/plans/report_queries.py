@@ -88,3 +88,17 @@ def k15_region_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k17_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("method"), F.lit(1).alias("n"))
     return rp.with_total(rows, "method", "n")
+
+
+@query(f"WITH {_R} SELECT region_id, row_number() OVER (PARTITION BY class_id ORDER BY is_pareto DESC, round(f1, 9) DESC, round(lift, 9) DESC NULLS LAST, size DESC, cost, region_id) AS place FROM r")
+def p01_rank_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("class_id").orderBy(*rp.rank_key())
+    return rule_rows(spark, sf_dir).select("region_id", F.row_number().over(w).alias("place"))
+
+
+@query("SELECT p_partkey FROM part WHERE p_size % 7 = 2 OR p_size % 5 = 2")
+def p06_mentioning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = F.array(F.concat(F.lit("pl"), (F.col("p_size") % 7).cast("string")), F.concat(F.lit("pl"), (F.col("p_size") % 5).cast("string")))
+    return rp.mentioning(table(spark, sf_dir, "part").withColumn("plane_ids", ids), ["pl2"]).select("p_partkey")

@@ -70,3 +70,12 @@ def test_ruleset_budget_and_inequalities():
     assert planes.inequality([1.0, 0.0], -0.75, 1, ["x0", "x1"]) == "x0 ≤ 0.75"
     assert planes.inequality([-2.0, 0.0], 1.5, 1, ["x0", "x1"]) == "x0 ≥ 0.75"
     assert planes.inequality([1.0, 1.0, 1.0], 0.0, -1, ["a", "b", "c"]).endswith("≥ 0")
+
+
+def test_constrained_pick_keeps_its_caps():
+    rng = np.random.default_rng(4)
+    cand = [{"a": 0, "b": 1 + k % 2, "i": int(rng.integers(6)), "j": int(rng.integers(6)), "score": float(rng.random())} for k in range(60)]
+    got = boundary.constrained_pick(cand, {(0, 1): 5, (0, 2): 5})
+    assert len(got) == 10 and all(sum(c["b"] == b for c in got) == 5 for b in (1, 2))
+    few = boundary.constrained_pick(cand[:3], {(0, 1): 5, (0, 2): 5})
+    assert len(few) == 3
