@@ -212,7 +212,7 @@ def _merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class PieceCache(dict):
     """Pre-token to its ids as little-endian unsigned 32-bit integers, in two generations of `most` entries at most."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 100_000):
         super().__init__()
         self.ranks, self.most, self.older = ranks, most, {}
 
@@ -315,20 +315,23 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "token_ids", keep: tuple
     return tokens.select(*keep, F.col(ids_col).alias("_ids")).mapInArrow(rows, spark_schema)
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode every text, decode its ids and return digests of both: id, n_tokens, ids_sha256, decoded_sha256."""
-    schema = docs.select(F.col(id_col)).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+def round_trip(docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
+    """Encode every text and decode its ids in one pass: `keep`, n_tokens, ids_sha256, decoded_sha256 and, if asked, token_ids."""
+    keep = list(keep)
+    schema = docs.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    schema = schema.add("token_ids", "binary") if with_ids else schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
+    inner = pa.schema([*list(arrow)[: len(keep)], ("token_ids", pa.binary())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = codec(path)
-        inner = pa.schema([("_id", arrow.field(0).type), ("token_ids", pa.binary())])
-        for batch in token_rows(batches, path, "_text", ["_id"], inner):
-            ids = batch.column(1).to_pylist()
+        for batch in token_rows(batches, path, "_text", keep, inner):
+            ids = batch.column(len(keep)).to_pylist()
             digests = [hashlib.sha256(x).hexdigest() for x in ids]
             back = [hashlib.sha256(enc.decode(np.frombuffer(x, "<u4"))).hexdigest() for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(digests, pa.string()), pa.array(back, pa.string())], schema=arrow)
+            cols = [*batch.columns[: len(keep)], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(digests, pa.string()), pa.array(back, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols + [batch.column(len(keep))] * with_ids, schema=arrow)
 
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(rows, schema)
+    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(rows, schema)

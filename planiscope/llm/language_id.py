@@ -92,12 +92,12 @@ def vectors(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out / np.maximum(norm, 1e-9), has
 
 
-def _blocks(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about `limit` characters and at most 512 texts."""
+def _blocks(texts: list[str | None], limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about `limit` characters and at most 128 texts."""
     at = 0
     while at < len(texts):
         end, size = at, 0
-        while end < len(texts) and end - at < 512 and (end == at or size + len(texts[end] or "") <= limit):
+        while end < len(texts) and end - at < 128 and (end == at or size + len(texts[end] or "") <= limit):
             size += len(texts[end] or "")
             end += 1
         yield at, end
@@ -238,7 +238,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in batches:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             texts = batch.column(len(keep)).to_pylist()
             for lo, hi in _blocks(texts):
                 x, has = vectors(texts[lo:hi])
