@@ -53,9 +53,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, with the digest of what they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    tokens = byte_bpe.encode(docs, path, keep=("doc_id", "lang", "source"))
-    back = byte_bpe.decode(tokens, path, keep=("doc_id", "lang", "source", "token_ids"))
-    return back.select("doc_id", "lang", "source", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return byte_bpe.round_trip(docs, path, keep=("doc_id", "lang", "source"), with_ids=True)
 
 
 STAGES = [
