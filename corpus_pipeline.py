@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planiscope.llm import byte_bpe, decontamination, language_id, simhash, substring_dedup
-from planiscope.llm.common import stored
+from planiscope.llm.common import stored, with_uid
 
 #: Score of language identification below which a text is no prose of any learned language.
 LEAST_SCORE = 0.2
@@ -26,18 +26,31 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).withColumn("lang", F.col("lang_pred")).select(docs.columns)
 
 
+def _rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(uid, text), a row for each distinct id and text, and (uid, _id, _hash), which lead back to rows of `docs`."""
+    rows = with_uid(docs)
+    return rows.select("uid", "text"), rows.select("uid", F.col("id").alias("_id"), F.xxhash64("text").alias("_hash"))
+
+
+def _same_row() -> F.Column:
+    return F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays: that of the smallest id; ids that repeat stay once."""
-    found = simhash.near_duplicates(docs)
-    kept = stored(found.filter(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("_id")).distinct(), "kept")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """One document of each group of linked fingerprints stays: that of the smallest id, null before all; equal rows stay once."""
+    rows, keys = _rows(docs)
+    found = simhash.near_duplicates(rows, "uid")
+    kept = stored(keys.join(found.filter("id = component").select(F.col("id").alias("uid")), "uid", "left_semi"), "kept")
+    staying = docs.join(kept, _same_row(), "left_semi").withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return staying.dropDuplicates(["doc_id", "_hash"]).select(docs.columns)
 
 
 def drop_repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words inside windows that repeat across the corpus leave the text; documents left without a word go."""
-    found = substring_dedup.deduplicate(docs, with_text=True)
-    changed = found.filter("n_removed > 0").select(F.col("id").alias("_id"), F.col("kept").alias("_kept"))
-    joined = docs.join(changed, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    rows, keys = _rows(docs)
+    found = substring_dedup.deduplicate(rows, "uid", with_text=True)
+    changed = found.filter("n_removed > 0").select("uid", F.col("kept").alias("_kept")).join(keys, "uid").drop("uid")
+    joined = docs.join(changed, _same_row(), "left")
     text = F.when(F.col("_kept").isNotNull(), F.col("_kept")).otherwise(F.col("text"))
     out = joined.withColumn("text", text).withColumn("n_chars", F.when(F.col("_kept").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.filter(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(docs.columns)
@@ -45,9 +58,10 @@ def drop_repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    found = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = found.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(docs.columns)
+    rows, keys = _rows(docs)
+    found = decontamination.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "uid")
+    gone = keys.join(found.select("uid").distinct(), "uid", "left_semi")
+    return docs.join(gone, _same_row(), "left_anti").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

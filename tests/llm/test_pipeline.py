@@ -76,3 +76,20 @@ def test_run_and_registration(spark, folder):
     assert sorted(int(q[2:].split("_")[0]) for q in queries if q.startswith("op") and q[2].isdigit()) == list(range(1, 11))
     assert queries["pipeline"](spark, folder).count() > 300
     assert simhash and substring_dedup
+
+
+def test_null_and_repeated_ids_cost_only_true_copies(spark, folder):
+    docs, items, _, words = make()
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    table = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema).repartition(2)
+    texts = lambda df: sorted(((r.doc_id is None, r.doc_id or 0, r.text) for r in df.collect()))
+    a, b, c, d, e, f, rep = (" ".join(words(80)) for _ in range(7))
+    rows = [(None, a), (None, b), (None, c), (None, a), (7, d), (7, e), (8, d)]
+    assert sorted(r.text for r in corpus_pipeline.drop_near_duplicates(spark, table(rows), folder).collect()) == sorted([a, b, c, d, e])
+    rows = [(7, f"{a} {rep}"), (7, f"{b} {rep}"), (None, f"{c} {rep}"), (None, d)]
+    got = texts(corpus_pipeline.drop_repeated_substrings(spark, table(rows), folder))
+    assert [(n, i, t.strip()) for n, i, t in got] == sorted([(False, 7, a), (False, 7, b), (True, 0, c), (True, 0, d)])
+    clean = [(i, t) for i, t in docs if i % 20]
+    rows = [(7, e), (7, f"{a} {items[0][1]} {b}"), (None, f"{c} {items[1][1]} {d}"), (None, f)]
+    got = {x for x in texts(corpus_pipeline.drop_contaminated(spark, table(rows + clean), folder)) if x[2] not in {t for _, t in clean}}
+    assert got == {(False, 7, e), (True, 0, f)}
