@@ -93,3 +93,15 @@ def test_null_and_repeated_ids_cost_only_true_copies(spark, folder):
     rows = [(7, e), (7, f"{a} {items[0][1]} {b}"), (None, f"{c} {items[1][1]} {d}"), (None, f)]
     got = {x for x in texts(corpus_pipeline.drop_contaminated(spark, table(rows + clean), folder)) if x[2] not in {t for _, t in clean}}
     assert got == {(False, 7, e), (True, 0, f)}
+
+
+def test_letters_of_no_language_are_rejected(spark, folder):
+    rnd = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    stems = {"en": "the of and with that thing which would house", "de": "der und nicht ein schule zwischen auch wird haus", "fr": "le une dans avec pour maison toujours elle que", "es": "el los una con para siempre ella casa ayer"}
+    text = {k: lambda w=v.split(): " ".join(rnd.choice(w) + rnd.choice(["", "", rnd.choice(w)]) for _ in range(60)) for k, v in stems.items()}
+    rows = [(i, text[k](), k) for i, k in enumerate(list(stems) * 60)]
+    junk = [(1000 + i, " ".join("".join(rnd.choice(letters) for _ in range(rnd.randint(2, 9))) for _ in range(60)), None) for i in range(30)]
+    docs = spark.createDataFrame([(i, t, k, "s", len(t)) for i, t, k in rows + junk], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id: r.lang for r in corpus_pipeline.identify_language(spark, docs, folder).collect()}
+    assert kept == {i: k for i, _, k in rows}
