@@ -13,7 +13,7 @@ from __future__ import annotations
 import html as _html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -183,11 +183,15 @@ def lines_of(source: str) -> list[Line]:
     return lines
 
 
+#: Bits of rows that are kept for the walk back; more lines than that are split first.
+ROW_BITS = 1 << 31
+
+
 def shared(a: list[str], b: list[str]) -> set[int]:
     """Indices of `a` in one longest common subsequence with `b`, by bit-parallel rows and a walk back.
 
-    Rows take len(a) * len(b) bits; beyond 2**31 of them only lines that occur once on both sides are aligned, by a
-    longest increasing run of their places.
+    Rows take len(a) * len(b) bits; beyond ROW_BITS the lines of `a` are halved and those of `b` cut where the lengths of
+    both sides add up to the longest (Hirschberg), again and again, so that the result is exact at every size.
     """
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
@@ -202,17 +206,13 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     y = [v for v in y if v in common]
     if not xi:
         return out
-    if len(xi) * len(y) > 1 << 31:
-        return out | {head + i for i in _unique_run(x, xi, y)}
-    places: dict[str, int] = {}
-    for j, v in enumerate(y):
-        places[v] = places.get(v, 0) | (1 << j)
-    full = (1 << len(y)) - 1
-    row, rows = full, []
-    for i in xi:
-        u = row & places[x[i]]
-        row = ((row + u) | (row - u)) & full
-        rows.append(row)
+    if len(xi) > 1 and len(xi) * len(y) > ROW_BITS:
+        half = len(xi) // 2
+        left, right = [x[i] for i in xi[:half]], [x[i] for i in xi[half:]]
+        cut = _cut(left, right, y)
+        out |= {head + xi[i] for i in shared(left, y[:cut])}
+        return out | {head + xi[half + i] for i in shared(right, y[cut:])}
+    rows = list(_rows(x, xi, y))
     j = len(y) - 1
     for k in range(len(xi) - 1, -1, -1):  # a zero bit of row k at j: the length grows there
         while j >= 0 and rows[k] >> j & 1:
@@ -226,25 +226,35 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def _unique_run(x: list[str], xi: list[int], y: list[str]) -> list[int]:
-    import bisect
-    from collections import Counter
-
-    cx, cy = Counter(x[i] for i in xi), Counter(y)
-    place = {v: j for j, v in enumerate(y) if cy[v] == 1}
-    ends, last, back = [], [], {}
+def _rows(x: list[str], xi: Iterable[int], y: list[str]) -> Iterator[int]:
+    """For every index of `x` in turn, the row whose zero bits say where in `y` the length grows."""
+    places: dict[str, int] = {}
+    for j, v in enumerate(y):
+        places[v] = places.get(v, 0) | (1 << j)
+    row = full = (1 << len(y)) - 1
     for i in xi:
-        if cx[x[i]] == 1 and x[i] in place:
-            p = place[x[i]]
-            k = bisect.bisect_left(ends, p)
-            ends[k:k + 1] = [p]
-            last[k:k + 1] = [i]
-            back[i] = last[k - 1] if k else None
-    out, i = [], last[-1] if last else None
-    while i is not None:
-        out.append(i)
-        i = back[i]
-    return out
+        u = row & places.get(x[i], 0)
+        row = ((row + u) | (row - u)) & full
+        yield row
+
+
+def _cut(left: list[str], right: list[str], y: list[str]) -> int:
+    """Where to cut `y` so that its parts have the most lines in common order with `left` and with `right`."""
+
+    def grows(x: list[str], y: list[str]) -> list[bool]:
+        row = (1 << len(y)) - 1
+        for row in _rows(x, range(len(x)), y):
+            pass
+        return [v == "0" for v in format(row, f"0{len(y)}b")[::-1]]
+
+    before, after = grows(left, y), grows(right[::-1], y[::-1])
+    best = now = sum(after)
+    at = 0
+    for j in range(len(y)):
+        now += before[j] - after[len(y) - 1 - j]
+        if now > best:
+            best, at = now, j + 1
+    return at
 
 
 def _nearness(a: Page, b: Page) -> tuple[int, int]:

@@ -38,6 +38,24 @@ def test_lcs_against_plain_code():
         assert all(a[i] in at for i in sorted(got))  # a subsequence of b
 
 
+def test_lcs_of_repeated_lines_on_very_long_pages():
+    middle = ["s", "t"] * 24_000
+    got = h.shared(["p", *middle, "q"], ["q", *middle, "p"])
+    assert got == set(range(1, len(middle) + 1))
+
+
+def test_lcs_in_parts_is_as_long_as_whole(monkeypatch):
+    rnd = random.Random(3)
+    for _ in range(300):
+        a, b = ([str(rnd.randrange(5)) for _ in range(rnd.randint(0, 25))] for _ in range(2))
+        monkeypatch.setattr(h, "ROW_BITS", 1 << 31)
+        whole = h.shared(a, b)
+        monkeypatch.setattr(h, "ROW_BITS", 8)
+        parts = h.shared(a, b)
+        rest = iter(b)
+        assert len(parts) == len(whole) and all(a[i] in rest for i in sorted(parts))
+
+
 def test_shared_lines_go_where_nothing_says_what_the_article_is():
     make = lambda body: f"<div>Site name</div><div><a href='/'>Home</a></div>{body}<div>About us and more</div>"
     a, b = make("<p>First story here.</p><p>It goes on.</p>"), make("<p>Second story.</p><p>Also long.</p><p>End.</p>")
