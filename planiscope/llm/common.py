@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import functools
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +21,12 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is set."""
+    """The folder that driver and executors share. Where none is set, a local session gets one of its own; a cluster an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="planiscope-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -30,7 +37,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    tidy(spark)
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what `stored` wrote, once nothing that is still to be computed reads it."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def tidy(spark: SparkSession, now: bool = False) -> None:
+    """A collection, after which Spark drops shuffle files and broadcasts of finished steps: `now`, or once the driver's
+    heap has grown to half of its bound."""
+    run = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    if now or 2 * run.totalMemory() > run.maxMemory():
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def partitions(df: DataFrame) -> int:
@@ -38,19 +64,81 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def with_uid(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(uid, id, text): one row per distinct (id, text), with a unique uid that orders as (id, text hash).
+def fresh(name: str, *taken: list[str]) -> str:
+    """A column name like `name` that is not taken, whatever the case."""
+    used = {c.lower() for columns in taken for c in columns}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
 
-    Null ids come first, null texts count as empty. Where ids are unique and not null, which a scan of the id
-    column alone shows, uid is the id and nothing moves. Else the rows are dealt by range and stored once.
+
+def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = True, ties: list[F.Column] | None = None) -> tuple[DataFrame, str]:
+    """`docs` with a column that tells its rows apart, and that column's name; without `keep`, id and text only.
+
+    The numbers order rows as (id, hash of the text or else `ties`), null ids first. Where ids are unique and not null, which a scan
+    of the id column alone shows, the id is the number and nothing moves. Else rows are dealt by range, rows that are
+    alike by their places in the input too, and stored once.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    seen = rows.groupBy("id").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.max(F.col("id").isNull()).alias("nulls")).first()
+    uid = fresh("uid", docs.columns)
+    rows = docs if keep else docs.select(F.col(id_col), F.col(text_col))
+    key = F.col(id_col).cast("long")
+    seen = docs.select(key.alias("id")).groupBy("id").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.max(F.col("id").isNull()).alias("nulls")).first()
     if seen["most"] in (None, 1) and not seen["nulls"]:
-        return rows.select(F.col("id").alias("uid"), "id", "text")
-    key = F.xxhash64("text")
-    ranged = rows.dropDuplicates(["id", "text"]).withColumn("_h", key).repartitionByRange(partitions(docs), "id", "_h").sortWithinPartitions("id", "_h")
-    return stored(ranged.select(F.monotonically_increasing_id().alias("uid"), "id", "text"), "uid")
+        return rows.withColumn(uid, key), uid
+    place = fresh("place", docs.columns, [uid])
+    order = [key.asc_nulls_first(), *(ties or [F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))]), F.col(place)]
+    ranged = rows.withColumn(place, F.monotonically_increasing_id()).repartitionByRange(partitions(docs), *order).sortWithinPartitions(*order)
+    return stored(ranged.drop(place).withColumn(uid, F.monotonically_increasing_id()), "numbered"), uid
+
+
+def with_uid(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(uid, id, text): a row for every row of `docs`, with a unique uid (see numbered); null texts are empty."""
+    rows, uid = numbered(docs, id_col, text_col, keep=False)
+    return rows.select(F.col(uid).alias("uid"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def shard_bounds(sizes: DataFrame, shard_bytes: int) -> list[int]:
+    """First uids of the shards after the first, for (uid, size) with unique uids: bytes are counted along the order of
+    uids, and a shard begins at each full `shard_bytes`. So bounds depend on the data alone. The driver gets a number for
+    every partition and for every shard."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, done = TaskContext.get().partitionId(), 0
+        for b in batches:
+            after = done + np.cumsum(b.column(1).to_numpy(zero_copy_only=False).astype(np.int64))
+            if len(after):
+                before = np.append(done, after[:-1])
+                done = int(after[-1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(after), part, np.int32)), b.column(0), pa.array(before, pa.int64()), pa.array(after, pa.int64())], names=["part", "uid", "before", "after"])
+
+    ranged = sizes.repartitionByRange(partitions(sizes), "uid").sortWithinPartitions("uid")
+    placed = stored(ranged.select("uid", "size").mapInArrow(run, "part int, uid long, before long, after long"), "placed")
+    totals = sorted((r["part"], r["n"]) for r in placed.groupBy("part").agg(F.max("after").alias("n")).collect())
+    if not totals:
+        return []
+    starts = np.cumsum([0] + [n for _, n in totals])[:-1].tolist()
+    offsets = sizes.sparkSession.createDataFrame([(p, s) for (p, _), s in zip(totals, starts, strict=True)], "part int, start long")
+    shard = F.floor((F.col("before") + F.col("start")) / shard_bytes)
+    rows = placed.join(offsets, "part").groupBy(shard.alias("shard")).agg(F.min("uid").alias("uid")).collect()
+    discard(placed)
+    return sorted(r["uid"] for r in rows)[1:]
+
+
+def by_shard(rows: DataFrame, bounds: list[int]) -> DataFrame:
+    """`rows` (uid and others) with their shard's number, each shard one partition, in the order of uids."""
+    sent = rows.sparkSession.sparkContext.broadcast(np.array(bounds, np.int64))
+
+    @F.arrow_udf("int")
+    def shard(uid: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(sent.value, uid.to_numpy(zero_copy_only=False), side="right"), pa.int32())
+
+    return rows.withColumn("shard", shard("uid")).repartitionById(len(bounds) + 1, F.col("shard"))
+
+
+def commit_file(fs: pafs.FileSystem, temp: str, name: str) -> None:
+    """Rename a whole file to its name; what an earlier attempt of the same task left there has the same bytes and goes."""
+    if fs.get_file_info(name).type != pafs.FileType.NotFound:
+        fs.delete_file(name)
+    fs.move(temp, name)
 
 
 # --------------------------------------------------------------------------- arrays
@@ -104,7 +192,7 @@ def _hash_tables(seed: int) -> tuple[np.ndarray, int]:
     return rng.integers(0, 1 << 64, 256, dtype=np.uint64), int(rng.integers(1 << 62, 1 << 63)) * 2 + 1
 
 
-@functools.lru_cache(4)
+@functools.lru_cache(2)
 def _powers(seed: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     p = _hash_tables(seed)[1]
     out = []

@@ -1,24 +1,17 @@
-"""Windows of tokens that occur more than once in a corpus, found without a row for every position.
-
-Both duplicate-substring operators stand on this module. A window is `length` tokens of one document. The flow:
-
-1. Every window has one anchor: among its runs of `lead` tokens the one whose hash is least. Equal windows have equal
-   anchors at equal places. Windows in a row that share an anchor form one span, and there are some
-   2 / (length - lead + 2) spans per token. Only spans are dealt out, by the anchor's hash, with a hash of their content.
-2. A span whose anchor occurs once holds no repeated window. Spans with equal content are settled as a whole; one of
-   them stands for all. What remains are anchors with several contents: the edges of repeated passages.
-3. Only those spans' tokens are fetched from the texts. Sampled splitters deal them out by range of their leading
-   tokens (the anchor), each bucket is sorted on its own, and windows are compared key by key (`Units.keys`); a group that
-   a bucket's edge cuts is compared across the edge by digests of its windows.
-
-Hot keys: repeated spans are combined in the task that reads them; an anchor seen `HOT` times by one batch skips step 2,
-so no task gets more than HOT rows per batch of one anchor; in step 3 anchors over GROUP are dealt out by document too. All
-intermediate tables are on shared storage or ordinary shuffles; the driver gets no rows.
+"""What both duplicate-substring operators share: anchors of windows, and which keys occur more than once.
+
+A window is `length` tokens (bytes or words) of one document. Its anchor is the run of `lead` tokens in it whose hash
+is least. Equal windows have equal anchors at equal places, and windows in a row that share an anchor form one span;
+there are some 2 / (length - lead + 2) spans per token. An anchor that occurs once shows that no window of its span repeats.
+
+`Level` says which rows have a key that others have too. A task first combines the rows it reads: keys that it sees
+twice are settled there and send one mark on, so one key gives a row per task and flush at most, however common it is. What
+is left meets by key in sorted order and is settled as a stream, in memory that does not depend on the size of a group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,382 +19,170 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_hash, merged, partitions, prefix_hash, ranges, sliding_argmin, span_hash, stored, text_slices, window_hash, word_bounds
+from .common import _IS_SPACE, merged, mixed, partitions, sliding_argmin, text_slices, word_bounds
+
+#: Bytes of text that are worked on at a time, and rows that are combined at a time.
+SLICE = 1 << 17
+FLUSH = 1 << 18
 
-#: Rows of one anchor in one batch from which they go to step 3 at once.
-HOT = 64
-#: Spans that step 3 compares at a time, and spans of one anchor up to which they stay together.
-CHUNK = 8192
-GROUP = 32768
+#: A row that adds nothing to its key's count, one that counts, a mark for a key that occurs twice, and a settled row.
+EXTRA, OPEN, MARK, HIT = range(4)
 
-_PLAIN, _FLAGGED, _OPEN, _MARK, _KNOWN = range(5)
+
+def slices(batch: pa.RecordBatch, words: bool, length: int, limit: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray, int, int]]:
+    """Parts of a batch with some `limit` bytes: first row, bytes, byte offsets, and for a part of one long text the
+    number of its first token and of its tokens. Long texts are cut so that every window lies in one part whole, and
+    begins in one only."""
+    for lo, hi, buf, offs in text_slices(batch, "text", limit):
+        if hi - lo > 1 or len(buf) <= 2 * limit:
+            yield lo, buf, offs, 0, len(buf)
+        elif not words:
+            for at in range(0, max(1, len(buf) - length + 1), limit):
+                part = buf[at : at + limit + length - 1]
+                yield lo, part, np.array([0, len(part)]), at, len(part)
+        else:
+            at = base = 0
+            while at < len(buf):
+                end = _space(buf, at + limit)
+                stop, more = end, 0
+                while stop < len(buf) and more < length - 1:
+                    stop = _space(buf, stop + 8 * length)
+                    more = len(word_bounds(buf[end:stop], np.array([0, stop - end]))[0])
+                part = buf[at:stop]
+                here = len(word_bounds(buf[at:end], np.array([0, end - at]))[0])
+                yield lo, part, np.array([0, len(part)]), base, here + length - 1
+                at, base = end, base + here
+
+
+def _space(buf: np.ndarray, at: int) -> int:
+    """Place of the first white space from `at` on, or the end."""
+    while at < len(buf):
+        found = np.flatnonzero(_IS_SPACE[buf[at : at + 4096]])
+        if len(found):
+            return at + int(found[0])
+        at += 4096
+    return len(buf)
+
+
+def anchors(lead: np.ndarray, doc: np.ndarray, length: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows and anchor of every span, from the hashes of all runs of `size` tokens."""
+    best = sliding_argmin(lead, length - size + 1)
+    ok = doc[: len(best)] == doc[length - 1 :]
+    new, stop = ok.copy(), ok.copy()
+    new[1:] &= (best[1:] != best[:-1]) | ~ok[:-1]
+    stop[:-1] &= new[1:] | ~ok[1:]
+    first, last = np.flatnonzero(new), np.flatnonzero(stop)
+    return first, last - first + 1, best[first]
 
 
 @dataclass(frozen=True)
-class Units:
-    """What a token is: bytes, or words of UTF-8 text."""
-
-    words: bool
-    length: int
-    lead: int
-
-    def tokens(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Byte start, byte end and document number of every token."""
-        if self.words:
-            return word_bounds(buf, offs)
-        at = np.arange(len(buf))
-        return at, at + 1, np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-
-    def lead_hash(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, Callable]:
-        """Hash of the run of `lead` tokens at each token, and a function for hashes of token spans."""
-        if not self.words:
-            one, two = prefix_hash(buf, 0), prefix_hash(buf, 1)
-            at = np.arange(max(0, len(buf) - self.lead + 1))
-            return span_hash(one, at, at + self.lead, 0), lambda a, b: span_hash(two, a, b, 1)
-        hashes = span_hash(prefix_hash(buf, 0), starts, ends, 0)
-        two = _token_prefix(hashes)
-        return window_hash(hashes, self.lead), lambda a, b: span_hash(two, a, b, 1)
-
-    def keys(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, list[Callable[[np.ndarray], np.ndarray]]]:
-        """First token of each piece, and per level the keys of the windows that start at given tokens.
-
-        Bytes: the window's next eight bytes, level by level, as a multikey sort reads them. Words: hashes of twice
-        as many words from level to level, up to the window.
-        """
-        if not self.words:
-            eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([buf, np.zeros(8, np.uint8)]), 8)
-            eight = np.ascontiguousarray(eight).view(">u8").ravel().astype(np.uint64)
-
-            def level(depth: int) -> Callable[[np.ndarray], np.ndarray]:
-                left = self.length - depth
-                cut = np.uint64(64 - 8 * min(8, left))
-                return lambda at: eight[at + depth] >> cut
-
-            return offs[:-1], [level(d) for d in range(0, self.length, 8)]
-        starts, ends, _ = word_bounds(buf, offs)
-        levels = []
-        for seed in (0, 1):
-            tokens = span_hash(prefix_hash(buf, seed), starts, ends, seed)
-            size, x = 1, tokens
-            while size * 2 <= self.length:
-                x = joined_hash(x[: len(x) - size], x[size:])
-                size *= 2
-                if size > self.lead:
-                    levels.append((size, seed, x))
-            if size < self.length:
-                levels.append((self.length, seed, joined_hash(x[: len(x) - self.length + size], x[self.length - size :])))
-        levels.sort(key=lambda t: t[:2])
-        return np.searchsorted(starts, offs[:-1]), [lambda at, x=x: x[at] for _, _, x in levels]
-
-    def digests(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent 64-bit hashes of the windows that start at given tokens."""
-        if not self.words:
-            return tuple(span_hash(prefix_hash(buf, s), at, at + self.length, s) for s in (2, 3))
-        return tuple(window_hash(span_hash(prefix_hash(buf, s), starts, ends, s), self.length)[at] for s in (2, 3))
-
-
-def _token_prefix(hashes: np.ndarray) -> np.ndarray:
-    from .common import powers
-
-    out = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * powers(1, len(hashes))[0][: len(hashes)], out=out[1:])
-    return out
-
-
-_SPANS = pa.schema([("g", pa.int64()), ("k", pa.int64()), ("s", pa.int64()), ("uid", pa.int64()), ("a", pa.int32()), ("md", pa.int32()), ("tag", pa.int8())])
-
-
-def _spans(batches: Iterator[pa.RecordBatch], units: Units, keep_first: bool) -> Iterator[pa.RecordBatch]:
-    """Step 1: spans of each batch, repeated contents within the batch settled."""
-    for batch in batches:
-        uids = batch.column(0).to_numpy()
-        parts = []
-        for lo, _, buf, offs in text_slices(batch, "text"):
-            starts, ends, doc = units.tokens(buf, offs)
-            if len(starts) < units.length:
+class Level:
+    """Rows with `keys` (long) and `rest` (name to Arrow type), of which those whose keys repeat are wanted."""
+
+    keys: tuple[str, ...]
+    rest: tuple[tuple[str, pa.DataType], ...]
+
+    @property
+    def arrow(self) -> pa.Schema:
+        return pa.schema([("g", pa.int64()), *((k, pa.int64()) for k in self.keys), *self.rest, ("tag", pa.int8())])
+
+    @property
+    def ddl(self) -> str:
+        from pyspark.sql.pandas.types import from_arrow_schema
+
+        return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in from_arrow_schema(self.arrow))
+
+    def combined(self, parts: Iterable[tuple[list[np.ndarray], list[np.ndarray], np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """Rows (keys, rest, tag) as they are dealt out."""
+        held, size = [], 0
+        for part in parts:
+            held.append(part)
+            size += len(part[2])
+            if size >= FLUSH:
+                yield from self._combine(held)
+                held, size = [], 0
+        if size:
+            yield from self._combine(held)
+
+    def _combine(self, held: list) -> Iterator[pa.RecordBatch]:
+        keys = [np.concatenate([p[0][i] for p in held]) for i in range(len(self.keys))]
+        rest = [np.concatenate([p[1][i] for p in held]) for i in range(len(self.rest))]
+        tag = np.concatenate([p[2] for p in held]).astype(np.int8)
+        new, group, order = _groups(keys)
+        keys, rest, tag = [k[order] for k in keys], [r[order] for r in rest], tag[order]
+        many = np.bincount(group, tag)[group] >= 2
+        marks = np.flatnonzero(new & many)
+        tag[many] = HIT
+        spread = mixed((rest[0].astype(np.int64) * 31 + rest[1]).view(np.uint64)).view(np.int64)  # settled rows go anywhere
+        g = np.where(many, spread, keys[0])
+        for at in range(0, len(tag), 1 << 16):
+            cut = slice(at, at + (1 << 16))
+            yield self._batch([g[cut], *(k[cut] for k in keys), *(r[cut] for r in rest), tag[cut]])
+        if len(marks):
+            yield self._batch([keys[0][marks], *(k[marks] for k in keys), *(r[marks] for r in rest), np.full(len(marks), MARK, np.int8)])
+
+    def _batch(self, columns: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, self.arrow, strict=True)], schema=self.arrow)
+
+    def deal(self, rows: DataFrame) -> DataFrame:
+        return rows.repartition(partitions(rows), "g").sortWithinPartitions(*self.keys)
+
+    def settled(self, batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        """The rest of every row whose keys occur twice or more, from a partition sorted by keys."""
+        n, carry = len(self.keys), None
+        for batch in batches:
+            cols = [c.to_numpy() for c in batch.columns[1:]]
+            hit = cols[-1] == HIT
+            if hit.any():
+                yield [c[hit] for c in cols[n:-1]]
+                cols = [c[~hit] for c in cols]
+            if carry is not None:
+                cols = [np.concatenate(x) for x in zip(carry, cols, strict=True)]
+            if not len(cols[0]):
                 continue
-            lead, span = units.lead_hash(buf, starts, ends)
-            best = sliding_argmin(lead, units.length - units.lead + 1)
-            ok = doc[: len(best)] == doc[units.length - 1 :]
-            new = ok.copy()
-            new[1:] &= (best[1:] != best[:-1]) | ~ok[:-1]
-            stop = ok.copy()
-            stop[:-1] &= new[1:] | ~ok[1:]
-            a, last = np.flatnonzero(new), np.flatnonzero(stop)
-            if not len(a):
-                continue
-            at = best[a]
-            base = np.searchsorted(starts, offs[:-1])
-            d = doc[a]
-            parts.append((lead[at].view(np.int64), span(a, last + units.length).view(np.int64), uids[lo + d], a - base[d], (last - a + 1) | ((at - a) << 12)))
-        if not parts:
-            continue
-        k, s, uid, a, md = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((a, uid, s, k))
-        k, s, uid, a, md = (x[order] for x in (k, s, uid, a, md))
-        tag = np.full(len(k), _PLAIN, np.int8)
-        first = np.ones(len(k), bool)
-        first[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
-        more = ~first
-        if keep_first:
-            tag[more] = _FLAGGED
-        else:
-            same = more.copy()
-            same[:-1] |= more[1:]
-            tag[same] = _FLAGGED
-        lead_rows = np.flatnonzero(first)
-        # one row per content goes on; in the other mode a content seen twice goes on as known to repeat
-        out = [(k, k, s, uid, a, md, tag)]
-        if not keep_first:
-            known = lead_rows[tag[lead_rows] == _FLAGGED]
-            out.append((k[known], k[known], s[known], uid[known], a[known], md[known], np.full(len(known), _KNOWN, np.int8)))
-        kk = k[lead_rows]
-        edge = np.flatnonzero(np.append(True, kk[1:] != kk[:-1]))
-        sizes = np.diff(np.append(edge, len(kk)))
-        hot = np.repeat(sizes >= HOT, sizes)
-        if hot.any():
-            rows = lead_rows[hot]
-            plain = rows[tag[rows] == _PLAIN]
-            tag[plain] = _OPEN
-            marks = lead_rows[edge[sizes >= HOT]]
-            out.append((k[marks], k[marks], s[marks], uid[marks], a[marks], md[marks], np.full(len(marks), _MARK, np.int8)))
-        for gk, k1, s1, u1, a1, m1, t1 in out:
-            spread = np.where((t1 == _FLAGGED) | (t1 == _OPEN), (u1 * np.int64(0x5851F42D4C957F2D)) ^ a1, gk)
-            for at in range(0, len(k1), 1 << 16):
-                cut = slice(at, at + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(x[cut], t) for x, t in zip((spread, k1, s1, u1, a1, m1, t1), _SPANS.types, strict=True)], schema=_SPANS)
-
-
-_SETTLED = pa.schema([("uid", pa.int64()), ("a", pa.int32()), ("md", pa.int32()), ("tag", pa.int8())])
-
-
-def _settle(batches: Iterator[pa.RecordBatch], keep_first: bool) -> Iterator[pa.RecordBatch]:
-    """Step 2 over a partition sorted by k: flagged spans, and spans whose windows are still open."""
-    left: list[np.ndarray] | None = None
-
-    def groups(cols: list[np.ndarray]) -> pa.RecordBatch:
-        k, s, uid, a, md, tag = cols
-        order = np.lexsort((a, uid, s, k))
-        k, s, uid, a, md, tag = (x[order] for x in cols)
-        new_k, new_c = np.ones(len(k), bool), np.ones(len(k), bool)
-        new_k[1:] = k[1:] != k[:-1]
-        new_c[1:] = new_k[1:] | (s[1:] != s[:-1])
-        group, cls = np.cumsum(new_k) - 1, np.cumsum(new_c) - 1
-        mark = tag == _MARK
-        rows_of = np.bincount(cls, weights=np.where(mark, 0, np.where(tag == _KNOWN, 2, 1))).astype(np.int64)
-        real = np.flatnonzero(new_c)
-        classes = np.bincount(group[real], weights=rows_of > 0) + np.bincount(group, weights=mark)
-        several = classes[group] > 1
-        out = np.full(len(k), -1, np.int8)
-        # the first row of a class that is not a mark stands for it
-        stand = np.full(cls[-1] + 1 if len(cls) else 0, -1)
-        idx = np.flatnonzero(~mark)[::-1]
-        stand[cls[idx]] = idx
-        stand = stand[stand >= 0]
-        if keep_first:
-            out[~mark] = _FLAGGED
-            out[stand] = np.where(several[stand], _OPEN, -1)
-            extra = np.zeros(0, np.int64)
-        else:
-            many = rows_of[cls] > 1
-            out[many & (tag == _PLAIN)] = _FLAGGED
-            out[~many & several & ~mark] = _OPEN
-            extra = stand[many[stand] & several[stand]]
-        pick = np.concatenate([np.flatnonzero(out >= 0), extra])
-        tags = np.concatenate([out[out >= 0], np.full(len(extra), _KNOWN, np.int8)])
-        return pa.RecordBatch.from_arrays([pa.array(uid[pick]), pa.array(a[pick], pa.int32()), pa.array(md[pick], pa.int32()), pa.array(tags, pa.int8())], schema=_SETTLED)
-
-    for batch in batches:
-        cols = [batch.column(i).to_numpy() for i in range(1, 7)]
-        tag = cols[5]
-        done = (tag == _FLAGGED) | (tag == _OPEN)
-        if done.any():
-            yield pa.RecordBatch.from_arrays([pa.array(cols[i][done], t) for i, t in zip((2, 3, 4, 5), _SETTLED.types, strict=True)], schema=_SETTLED)
-            cols = [c[~done] for c in cols]
-        if left is not None:
-            cols = [np.concatenate(x) for x in zip(left, cols, strict=True)]
-        if not len(cols[0]):
-            left = None
-            continue
-        cut = int(np.searchsorted(cols[0], cols[0][-1]))
-        left = [c[cut:].copy() for c in cols]
-        if cut:
-            yield groups([c[:cut] for c in cols])
-    if left is not None:
-        yield groups(left)
-
-
-_PIECES = pa.schema([("lead", pa.binary()), ("uid", pa.int64()), ("a", pa.int32()), ("md", pa.int32()), ("tag", pa.int8()), ("piece", pa.binary())])
-
-
-def _fetch(batches: Iterator[pa.RecordBatch], units: Units) -> Iterator[pa.RecordBatch]:
-    """Step 3: the tokens of open spans, with the anchor in front; words are joined by one space."""
-    for batch in batches:
-        spans = batch.column(batch.schema.get_field_index("spans"))
-        uids = batch.column(0).to_numpy()
-        flat, bounds = spans.flatten(), spans.offsets.to_numpy()
-        bounds = bounds - bounds[0]
-        fa, fm, ft = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-        for lo, hi, buf, offs in text_slices(batch, "text"):
-            starts, ends, _ = units.tokens(buf, offs)
-            base = np.searchsorted(starts, offs[:-1])
-            leads, pieces, rows = [], [], []
-            data = buf.tobytes()
-            for i in range(lo, hi):
-                for j in range(bounds[i], bounds[i + 1]):
-                    t = base[i - lo] + fa[j]
-                    m, d = fm[j] & 0xFFF, fm[j] >> 12
-                    size = m - 1 + units.length
-                    piece = data[starts[t] : ends[t + size - 1]]
-                    lead = data[starts[t + d] : ends[t + d + units.lead - 1]]
-                    if units.words:
-                        piece, lead = b" ".join(piece.split()), b" ".join(lead.split())
-                    leads.append(lead)
-                    pieces.append(piece)
-                    rows.append((uids[i], fa[j], fm[j], ft[j]))
-                if len(rows) > 20000 or (i == hi - 1 and rows):
-                    u, a, m, t = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(leads, pa.binary()), pa.array(u, pa.int64()), pa.array(a, pa.int32()), pa.array(m, pa.int32()), pa.array(t, pa.int8()), pa.array(pieces, pa.binary())], schema=_PIECES)
-                    leads, pieces, rows = [], [], []
-
-
-_FOUND = pa.schema([("uid", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("kind", pa.int8())])
-
-
-def _compare(batches: Iterator[pa.RecordBatch], units: Units, keep_first: bool, chunk: int) -> Iterator[pa.RecordBatch]:
-    """Step 3 over a bucket sorted by its leading tokens: flagged runs (kind 1), digests of windows of cut groups (2, 3)."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    for batch in batches:
-        held.append(batch)
-        rows += batch.num_rows
-        if rows < chunk:
-            continue
-        t = pa.Table.from_batches(held)
-        last = (t.column("lead")[-1], t.column("salt")[-1])
-        at = rows
-        while at and (t.column("lead")[at - 1], t.column("salt")[at - 1]) == last:
-            at -= 1
-        if at:
-            yield from _compare_chunk(t.slice(0, at), units, keep_first)
-            held, rows = t.slice(at).combine_chunks().to_batches(), t.num_rows - at
-    if rows:
-        yield from _compare_chunk(pa.Table.from_batches(held), units, keep_first)
-
-
-def _compare_chunk(t: pa.Table, units: Units, keep_first: bool) -> Iterator[pa.RecordBatch]:
-    t = t.combine_chunks()
-    leads = t.column("lead").to_pylist()
-    uid, a, md, tag, salt = (t.column(c).to_numpy() for c in ("uid", "a", "md", "tag", "salt"))
-    m, d = (md & 0xFFF).astype(np.int64), (md >> 12).astype(np.int64)
-    rows = pa.RecordBatch.from_arrays([t.column("piece").chunk(0) if t.num_rows else pa.array([], pa.binary())], names=["piece"])
-    ((_, _, buf, offs),) = list(text_slices(rows, "piece", 1 << 62))
-    first, levels = units.keys(buf, offs)
-    new = np.array([True] + [x != y for x, y in zip(leads[1:], leads[:-1], strict=True)])
-    new[1:] |= salt[1:] != salt[:-1]
-    lead_group = np.cumsum(new) - 1
-    row = np.repeat(np.arange(len(m)), m)
-    within = ranges(np.zeros(len(m), np.int64), m)
-    at, pos = first[row] + within, a[row] + within
-    known = tag[row] == _KNOWN
-    # windows are equal only if their anchors are, at equal places
-    place = lead_group[row] * 4096 + (d[row] - within)
-    _, group = np.unique(place, return_inverse=True)
-    live = np.arange(len(at))
-    size = np.bincount(group)
-    live = live[size[group] > 1]
-    g = group[live]
-    for key in levels:
-        if not len(live):
-            break
-        v = key(at[live])
-        order = np.lexsort((v, g))
-        live, g, v = live[order], g[order], v[order]
-        change = np.ones(len(live), bool)
-        change[1:] = (g[1:] != g[:-1]) | (v[1:] != v[:-1])
-        g = np.cumsum(change) - 1
-        stay = np.bincount(g)[g] > 1
-        live, g = live[stay], g[stay]
-    order = np.lexsort((pos[live], uid[row[live]], g))
-    live, g = live[order], g[order]
-    head = np.ones(len(live), bool)
-    head[1:] = g[1:] != g[:-1]
-    flagged = np.zeros(len(at), bool)
-    flagged[live] = ~head if keep_first else True
-    hit = flagged & ~known
-    yield _runs(uid[row[hit]], pos[hit].astype(np.int64), units.length)
-    cut = salt[row] > 0
-    if keep_first:
-        ask = cut & ~flagged
-        repeats = np.zeros(len(at), bool)
-    else:
-        repeats = known | flagged
-        ask = cut & ~repeats
-        heads = np.zeros(len(at), bool)
-        heads[live[head]] = True
-        ask |= cut & (heads | (known & ~flagged))
-    if ask.any():
-        ask = np.flatnonzero(ask)
-        starts, ends, _ = units.tokens(buf, offs)
-        h1, h2 = units.digests(buf, starts, ends, at[ask])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(uid[row[ask]]), pa.array(pos[ask], pa.int32()), pa.array(pos[ask] + units.length, pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(np.where(repeats[ask], 3, 2), pa.int8())], schema=_FOUND
-        )
-
-
-def _runs(uid: np.ndarray, pos: np.ndarray, length: int) -> pa.RecordBatch:
-    order = np.lexsort((pos, uid))
-    uid, pos = uid[order], pos[order]
-    new = np.ones(len(uid), bool)
-    new[1:] = (uid[1:] != uid[:-1]) | (pos[1:] > pos[:-1] + 1)
-    at = np.flatnonzero(new)
-    last = np.append(at[1:], len(uid)) - 1 if len(uid) else at
-    none = pa.nulls(len(at), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(uid[at]), pa.array(pos[at], pa.int32()), pa.array(pos[last] + length, pa.int32()), none, none, pa.array(np.ones(len(at)), pa.int8())], schema=_FOUND)
-
-
-def repeated_spans(docs: DataFrame, units: Units, keep_first: bool, chunk: int = CHUNK, group: int = GROUP) -> DataFrame:
-    """(uid, start, stop): token ranges that repeated windows cover, for `docs` (uid, text) with unique uid.
-
-    With keep_first, the window of each content that comes first by (uid, start) is spared; else all of its places count.
-    """
-    n = partitions(docs)
-    spans = docs.select("uid", "text").mapInArrow(lambda it: _spans(it, units, keep_first), "g long, k long, s long, uid long, a int, md int, tag byte")
-    dealt = spans.repartition(n, "g").sortWithinPartitions("k")
-    settled = stored(dealt.mapInArrow(lambda it: _settle(it, keep_first), "uid long, a int, md int, tag byte"), "spans")
-    open_spans = settled.filter(F.col("tag").isin(_OPEN, _KNOWN)).groupBy("uid").agg(F.collect_list(F.struct("a", "md", "tag")).alias("spans"))
-    pieces = docs.select("uid", "text").join(open_spans, "uid").mapInArrow(lambda it: _fetch(it, units), "lead binary, uid long, a int, md int, tag byte, piece binary")
-    pieces = stored(pieces, "pieces")
-    large = stored(pieces.groupBy("lead").agg(F.count("*").alias("n")).filter(F.col("n") > group), "large")
-    if large.take(1):
-        deal = 1 + F.pmod(F.xxhash64("uid"), F.ceil(F.col("n") / group))
-        pieces = pieces.join(large, "lead", "left").select(pieces["*"], F.coalesce(deal, F.lit(0)).cast("int").alias("salt"))
-    else:
-        pieces = pieces.withColumn("salt", F.lit(0))
-    buckets = pieces.repartitionByRange(n, "lead", "salt").sortWithinPartitions("lead", "salt", "uid", "a")
-    found = stored(buckets.mapInArrow(lambda it: _compare(it, units, keep_first, chunk), "uid long, start int, stop int, h1 long, h2 long, kind byte"), "windows")
-    whole = settled.filter(F.col("tag") == _FLAGGED).select("uid", F.col("a").alias("start"), (F.col("a") + F.col("md").bitwiseAND(0xFFF) + (units.length - 1)).alias("stop"))
-    cut = found.filter("kind > 1")
-    here = F.struct("uid", "start")
-    seen = cut.groupBy("h1", "h2").agg(F.min(here).alias("least"), F.count("*").alias("n"), F.max("kind").alias("most"))
-    seen = seen.filter("n > 1" if keep_first else "n > 1 or most = 3")
-    across = cut.join(seen, ["h1", "h2"]).filter(here != F.col("least") if keep_first else F.lit(True)).filter("kind = 2").select("uid", "start", "stop")
-    return whole.unionByName(found.filter("kind = 1").select("uid", "start", "stop")).unionByName(across)
-
-
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """`docs` with `spans`: the list of its (start, stop), null where there are none."""
-    lists = spans.groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return docs.join(lists, "uid", "left")
-
-
-def row_spans(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Maximal runs of each row's spans."""
+            tag = cols[-1]
+            new = _changes(cols[:n])
+            group = np.cumsum(new) - 1
+            many = np.bincount(group, tag) >= 2
+            pick = many[group] & (tag < MARK)
+            yield [c[pick] for c in cols[n:-1]]
+            last = int(np.flatnonzero(new)[-1])
+            if many[-1]:  # what follows of this key repeats
+                carry = [c[last : last + 1].copy() for c in cols]
+                carry[-1][:] = MARK
+            else:
+                carry = [c[last:].copy() for c in cols]
+
+
+def _changes(keys: list[np.ndarray]) -> np.ndarray:
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return new
+
+
+def _groups(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+    new = _changes([k[order] for k in keys])
+    return new, np.cumsum(new) - 1, order
+
+
+def with_lists(docs: DataFrame, rows: DataFrame, *columns: str, how: str = "left") -> DataFrame:
+    """`docs` with `spans`, the list of each document's `rows` (no longer than the document itself), null where there are none."""
+    lists = rows.groupBy("uid").agg(F.collect_list(F.struct(*columns)).alias("spans"))
+    return docs.join(lists, "uid", how)
+
+
+def row_lists(column: pa.Array) -> Iterator[list[np.ndarray]]:
+    """The fields of each row's list."""
     bounds = column.offsets.to_numpy()
-    flat = column.flatten()
+    fields = [f.to_numpy(zero_copy_only=False).astype(np.int64) for f in column.flatten().flatten()]
     valid = column.is_valid().to_numpy(zero_copy_only=False)
-    starts, stops = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
-    base = bounds[0]
     for i in range(len(column)):
-        lo, hi = (bounds[i] - base, bounds[i + 1] - base) if valid[i] else (0, 0)
-        yield merged(starts[lo:hi], stops[lo:hi])
+        lo, hi = (bounds[i] - bounds[0], bounds[i + 1] - bounds[0]) if valid[i] else (0, 0)
+        yield [f[lo:hi] for f in fields]
+
+
+def row_spans(column: pa.Array, length: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Maximal runs of each row's (start, stop), or of the windows of `length` that begin at its (start)."""
+    for row in row_lists(column):
+        yield merged(row[0], row[0] + length if length else row[1])

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from planiscope.llm import substring_dedup, suffix_dedup
@@ -68,27 +69,28 @@ def corpus(seed, n=60, vocabulary=400):
 def test_bytes_against_plain_code(spark, seed, length, chunk):
     docs = corpus(seed)
     table = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicate(table, length=length, chunk=chunk, group=chunk // 4).collect()}
+    got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicate(table, length=length, chunk=chunk).collect()}
     assert got == plain_suffix(docs, length)
 
 
-@pytest.mark.parametrize("seed,length,chunk", [(4, 35, 8192), (5, 35, 16), (6, 11, 16)])
-def test_words_against_plain_code(spark, seed, length, chunk):
+@pytest.mark.parametrize("seed,length", [(4, 35), (5, 35), (6, 11), (7, 6), (8, 50)])
+def test_words_against_plain_code(spark, seed, length):
     docs = corpus(seed)
     table = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    got = {r.id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.deduplicate(table, length=length, chunk=chunk, group=chunk // 4).collect()}
+    got = {r.id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.deduplicate(table, length=length).collect()}
     assert got == plain_words(docs, length)
 
 
-def test_hot_anchor_in_one_batch_is_settled_alike(spark):
-    """A passage inside several hundred different texts: its anchors exceed HOT within a batch."""
+def test_hot_anchor(spark):
+    """A passage inside several hundred different texts: suffixes of one beginning fill many parts of a bucket."""
     rnd = random.Random(9)
     passage = " ".join(f"p{i}" for i in range(60))
     docs = [(i, " ".join(f"w{rnd.randrange(10**6)}" for _ in range(20)) + " " + passage + " " + " ".join(f"w{rnd.randrange(10**6)}" for _ in range(20))) for i in range(300)]
-    table = spark.createDataFrame(docs, "doc_id long, text string").coalesce(2)
-    got = {r.id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.deduplicate(table, chunk=32, group=10).collect()}
+    docs += [(1000 + i, docs[5][1]) for i in range(100)]
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r.id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.deduplicate(table).collect()}
     assert got == plain_words(docs, 35)
-    got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicate(table, chunk=32, group=10).collect()}
+    got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicate(table, chunk=32).collect()}
     assert got == plain_suffix(docs, 100)
 
 
@@ -97,9 +99,9 @@ def test_null_and_repeated_ids_empty_tables_and_clashing_columns(spark):
     rows = [(None, long, 1), (4, long, 2), (4, long, 3), (4, "short", 4), (None, None, 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, uid long")
     got = sorted((r.id if r.id is not None else -1, r.n_removed) for r in substring_dedup.deduplicate(docs).collect())
-    assert got == [(-1, 0), (-1, 80), (4, 0), (4, 80)]
+    assert got == [(-1, 0), (-1, 80), (4, 0), (4, 80), (4, 80)]
     got = sorted((r.id if r.id is not None else -1, r.n_removed) for r in suffix_dedup.deduplicate(docs).collect())
-    assert got == [(-1, 0), (-1, 0), (4, 0), (4, len(long))]
+    assert got == [(-1, 0), (-1, 0), (4, 0), (4, len(long)), (4, len(long))]
     empty = docs.filter("false")
     assert substring_dedup.deduplicate(empty).collect() == [] and suffix_dedup.deduplicate(empty).collect() == []
 
@@ -111,3 +113,29 @@ def test_kept_text(spark):
     assert got == {1: "Head\nTail  end", 2: "é"}
     got = {r.id: r.kept for r in suffix_dedup.deduplicate(docs, with_text=True).collect()}
     assert got[1].decode() == docs.collect()[0].text and got[2].decode() == " é"
+
+
+def test_multikey_quicksort():
+    rnd = np.random.default_rng(3)
+    for n, values in ((0, 3), (1, 3), (500, 2), (500, 4), (300, 1)):
+        strings = rnd.integers(0, values, (n, 5)).astype(np.uint64)
+        order, lo, size = suffix_dedup.multikey_sort(strings[:, 0], 4, lambda d, i: strings[i, d + 1])
+        rows = [tuple(r) for r in strings[order].tolist()]
+        assert rows == sorted(map(tuple, strings.tolist()))
+        equal = [False] * n
+        for a, k in zip(lo.tolist(), size.tolist()):
+            equal[a + 1 : a + k] = [True] * (k - 1)
+        assert equal == [i > 0 and rows[i] == rows[i - 1] for i in range(n)]
+
+
+def test_long_texts(spark):
+    """Texts of over a megabyte are read in parts; repeats across the parts and in other documents are found."""
+    rnd = random.Random(4)
+    words = [f"w{rnd.randrange(10**7)}" for _ in range(250_000)]
+    one, two = " ".join(words), " ".join(words[100_000:160_000] + [f"v{i}" for i in range(1000)] + words[100_010:100_200])
+    docs = [(1, one), (2, two), (3, "a" * 1_500_000), (4, " ".join(words[70:110]))]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.deduplicate(table).collect()}
+    assert got == plain_words(docs, 35)
+    got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicate(table).collect()}
+    assert got == plain_suffix(docs, 100)
