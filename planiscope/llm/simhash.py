@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stored, text_slices
+from .common import discard, partitions, stored, text_slices
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -74,8 +74,8 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-#: Members of one bucket that are compared pair by pair in one task; larger buckets are covered again on other masks.
-BUCKET = 2048
+#: Members of one bucket that are compared in one task; larger buckets are covered again on other masks.
+BUCKET = 1 << 15
 
 
 def links(fps: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
@@ -87,78 +87,77 @@ def links(fps: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
     fewer free bits, until distinct values no longer fill a bucket. No link is lost, since every level covers.
     """
     found, level = None, 0
-    rows = fps.select("fp", F.lit(0).cast("long").alias("way"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("fixed"))
+    rows = fps.select("fp", F.lit(0).cast("long").alias("way"), F.lit(0).cast("long").alias("fixed"))
     while True:
         masks = [_signed(m) for m in covering_masks(radius, level)]
         choice = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(m).alias("m")) for i, m in enumerate(masks)]))
-        rows = rows.select("fp", "way", "fixed", choice.alias("c")).select(
-            "fp", (F.col("way") * len(masks) + F.col("c.i")).alias("way"), F.col("fixed").bitwiseOR(F.col("c.m")).alias("fixed"), F.col("fp").bitwiseAND(F.col("fixed").bitwiseOR(F.col("c.m"))).alias("key")
-        )
-        rows = stored(rows, f"buckets{level}")
-        sizes = rows.groupBy("way", "key").agg(F.count("*").alias("n"))
-        big = stored(sizes.filter(F.col("n") > bucket), f"big{level}")
-        any_big = bool(big.take(1))
-        small = rows.join(big, ["way", "key"], "left_anti") if any_big else rows
-        pairs = small.repartition(partitions(fps), "way", "key").sortWithinPartitions("way", "key").mapInArrow(lambda it: _bucket_links(it, radius), "a long, b long")
+        rows = rows.select("fp", "way", "fixed", choice.alias("c")).select("fp", (F.col("way") * len(masks) + F.col("c.i")).alias("way"), F.col("fixed").bitwiseOR(F.col("c.m")).alias("fixed"))
+        key = F.col("fp").bitwiseAND(F.col("fixed"))
+        dealt = rows.repartition(partitions(fps), "way", key).withColumn("key", key).sortWithinPartitions("way", "key")
+        out = stored(dealt.mapInArrow(lambda it: _bucket_links(it, radius, bucket), "a long, b long, way long, fixed long"), f"links{level}")
+        pairs = out.filter("way is null").select("a", "b")
         found = pairs if found is None else found.unionByName(pairs)
-        if not any_big:
+        rows = out.filter("way is not null").select(F.col("a").alias("fp"), "way", "fixed")
+        if not rows.take(1):
             return found.distinct()
-        rows = rows.join(big.select("way", "key"), ["way", "key"], "left_semi")
         level += 1
 
 
-def _bucket_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Links of every bucket of a partition that is sorted by bucket."""
-    left, way, key = np.zeros(0, np.uint64), None, None
+def _bucket_links(batches: Iterator[pa.RecordBatch], radius: int, bucket: int) -> Iterator[pa.RecordBatch]:
+    """Links of every bucket of a partition that is sorted by bucket, and the members of buckets that are too large."""
+    names = ["a", "b", "way", "fixed"]
+    held: list[np.ndarray] = []  # of the bucket that is read: none once it is too large
+    size, current = 0, None
 
-    def take(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return _hanging_together(fp, radius)
+    def over(fp: np.ndarray, way: int, fixed: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.nulls(len(fp), pa.int64()), pa.array(np.full(len(fp), way)), pa.array(np.full(len(fp), fixed))], names=names)
+
+    def linked(done: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        a, b = _pairs(done)
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64())], names=names)
 
-    done: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
-        f = batch.column(batch.schema.get_field_index("fp")).to_numpy().view(np.uint64)
-        w = batch.column(batch.schema.get_field_index("way")).to_numpy()
-        k = batch.column(batch.schema.get_field_index("key")).to_numpy()
-        if not len(f):
-            continue
+        f, way, fixed, key = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("fp", "way", "fixed", "key"))
+        f = f.view(np.uint64)
         new = np.ones(len(f), bool)
-        new[1:] = (w[1:] != w[:-1]) | (k[1:] != k[:-1])
-        new[0] = (w[0], k[0]) != (way, key)
-        cuts = np.flatnonzero(new)
-        if not len(cuts):
-            left = np.concatenate([left, f])
-            continue
-        if len(left) + cuts[0] > 1:
-            done.append(take(np.concatenate([left, f[: cuts[0]]])))
-        sizes = np.diff(np.append(cuts, len(f)))
-        for c in np.flatnonzero(sizes[:-1] > 1).tolist():
-            done.append(take(f[cuts[c] : cuts[c] + sizes[c]]))
-        left, way, key = f[cuts[-1] :].copy(), w[-1], k[-1]
-        yield _pair_batch(done)
+        new[1:] = (way[1:] != way[:-1]) | (key[1:] != key[:-1])
+        cuts = np.append(np.flatnonzero(new), len(f))
+        # buckets of one member are most: they are passed over, but for those that the batch begins or ends with
+        sizes = np.diff(cuts)
+        some = np.flatnonzero((sizes > 1) | (np.arange(len(sizes)) == 0) | (np.arange(len(sizes)) == len(sizes) - 1))
         done = []
-    if len(left) > 1:
-        done.append(take(left))
-    yield _pair_batch(done)
-
-
-def _pair_batch(done: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    a = np.concatenate([x[0] for x in done]) if done else np.zeros(0, np.uint64)
-    b = np.concatenate([x[1] for x in done]) if done else np.zeros(0, np.uint64)
-    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        for lo, n in zip(cuts[some].tolist(), sizes[some].tolist(), strict=True):
+            if (way[lo], key[lo]) != current:
+                if held and size > 1:
+                    done.append(_hanging_together(np.concatenate(held), radius))
+                held, size, current = [], 0, (way[lo], key[lo])
+            held.append(f[lo : lo + n].copy())
+            size += n
+            if size > bucket:
+                yield over(np.concatenate(held), int(way[lo]), int(fixed[lo]))
+                held = []
+        yield linked(done)
+    if held and size > 1:
+        yield linked([_hanging_together(np.concatenate(held), radius)])
+
+
+def _pairs(done: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    none = np.zeros(0, np.uint64)
+    return np.concatenate([none, *(x[0] for x in done)]), np.concatenate([none, *(x[1] for x in done)])
 
 
 def _hanging_together(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (first, other) of each group that links within `radius` bits hold together: labels spread row by row."""
-    fp = np.unique(fp)
-    label = np.arange(len(fp))
-    for i in range(len(fp)):
-        near = np.flatnonzero(np.bitwise_count(fp[i:] ^ fp[i]) <= radius) + i
-        if len(near) > 1:
-            marks = np.unique(label[near])
-            if len(marks) > 1:
-                label[np.isin(label, marks[1:])] = marks[0]
-    other = np.flatnonzero(label != np.arange(len(fp)))
-    return fp[label[other]], fp[other]
+    """Pairs (smallest, other) of each group that links within `radius` bits hold together, found breadth first."""
+    rest, out = np.unique(fp), []
+    while len(rest) > 1:
+        first, front, rest = rest[0], [rest[0]], rest[1:]
+        while front and len(rest):
+            near = np.bitwise_count(rest ^ front.pop()) <= radius
+            if near.any():
+                found, rest = rest[near], rest[~near]
+                front += found.tolist()
+                out.append((np.full(len(found), first), found))
+    return _pairs(out)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -171,11 +170,14 @@ def components(edges: DataFrame) -> DataFrame:
     pairs, before = stored(edges, "pairs"), None
     while True:
         both = pairs.unionByName(pairs.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-        least = both.groupBy("hi").agg(F.min("lo").alias("m")).withColumn("m", F.least("m", "hi"))
+        # written first, so that a node of very many edges is a skewed join, whose partitions Spark splits
+        least = stored(both.groupBy("hi").agg(F.min("lo").alias("m")).withColumn("m", F.least("m", "hi")), "least")
         large = both.join(least, "hi").filter(F.col("lo") > F.col("hi")).select(F.col("lo").alias("hi"), F.col("m").alias("lo")).filter("hi != lo").distinct()
-        small_least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        large = stored(large, "large")
+        small_least = stored(large.groupBy("hi").agg(F.min("lo").alias("m")), "least")
         small = large.join(small_least, "hi").select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("p")).select("p.hi", "p.lo").filter("hi != lo").distinct()
-        pairs = stored(small, "pairs")
+        old, pairs = pairs, stored(small, "pairs")
+        discard(old, least, large, small_least)
         now = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(pairs.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
@@ -191,11 +193,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = stored(rows.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    roots = components(links(nodes.select("fp"), radius))
-    linked = nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "root", "least")
-    least = linked.groupBy("root").agg(F.min("least").alias("component"))
+    roots = stored(components(links(nodes.select("fp"), radius)), "roots")
+    # every step is written, so that joins are of plain tables: Spark splits their hot keys
+    linked = stored(nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "root", "least"), "linked")
+    least = stored(linked.groupBy("root").agg(F.min("least").alias("component")), "least")
     linked = linked.join(least, "root").select("fp", "component")
-    named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
+    named = stored(nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component")), "named")
     return rows.join(named, "fp").select("id", "fp", "component")
 
 

@@ -41,8 +41,8 @@ def test_every_stage_against_plain_code_on_its_own_input(spark, folder, tmp_path
     before, after = seen["language_id"]
     assert set(before) - set(after) == {i for i, r in before.items() if not any(c.isalpha() for c in r.text or "")}
     before, after = seen["simhash_near_dedup"]
-    fps = {i: plain_fingerprint(r.text) for i, r in before.items()}
-    roots = plain_components(sorted(set(fps.values())))
+    fps = {i: plain_fingerprint(r.text, corpus_pipeline.SHINGLE) for i, r in before.items()}
+    roots = plain_components(sorted(set(fps.values())), corpus_pipeline.RADIUS)
     least = {}
     for i, f in fps.items():
         least[roots[f]] = min(i, least.get(roots[f], i))
@@ -105,3 +105,18 @@ def test_letters_of_no_language_are_rejected(spark, folder):
     docs = spark.createDataFrame([(i, t, k, "s", len(t)) for i, t, k in rows + junk], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id: r.lang for r in corpus_pipeline.identify_language(spark, docs, folder).collect()}
     assert kept == {i: k for i, _, k in rows}
+
+
+def test_clashing_columns_and_empty_tables(spark, folder):
+    _, items, _, words = make()
+    a, b, rep = (" ".join(words(80)) for _ in range(3))
+    rows = [(1, f"{a} {rep}", "en"), (2, f"{b} {rep}", "en"), (2, f"{b} {items[0][1]} {a}", "en"), (None, None, None), (4, "", "en"), (5, f"{a} {rep}", "en")]
+    names = ["lang_pred", "score", "_text", "_id", "_kept", "uid", "id", "kept", "row", "spans", "n_words", "n_removed", "component", "fp", "item_id", "place"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names)
+    docs = spark.createDataFrame([(i, t, k, "s", len(t or ""), *range(len(names))) for i, t, k in rows], schema).repartition(2)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns and all([r[n] for n in names] == list(range(len(names))) for r in out.collect())
+        assert stage(spark, docs.filter("false"), folder).collect() == []
+    assert sorted(r.text for r in corpus_pipeline.drop_near_duplicates(spark, docs, folder).collect() if r.text) == sorted([rows[0][1], rows[1][1], rows[2][1]])
+    assert corpus_pipeline.encode(spark, docs, folder).count() == len(rows) and corpus_pipeline.encode(spark, docs.filter("false"), folder).count() == 0
