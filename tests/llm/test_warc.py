@@ -64,11 +64,35 @@ def test_members_follow_the_standard(spark, tmp_path):
 
 
 def test_damage_is_found(spark, tmp_path):
-    good = gzip.compress(warc.record(1, 0, "u", b"abc", hashlib.sha256(b"abc").hexdigest(), 3, None, "2000-01-01T00:00:00Z"))
+    good = gzip.compress(warc.record("<urn:x>", 1, "u", b"abc", hashlib.sha256(b"abc").hexdigest(), 3, None, "2000-01-01T00:00:00Z"))
     with pytest.raises(ValueError):
         list(warc.parse(good[:-20]))
 
 
+def test_reader_checks_what_revisits_name_and_the_files_of_the_manifest(spark, tmp_path):
+    table = spark.createDataFrame([(1, "u", "a" * 150), (2, "v", "a" * 150), (3, "w", "b")], "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/c"
+    warc.write(table, folder)
+    (name,) = [x for x in os.listdir(tmp_path / "c") if x.endswith(".gz") and not x.startswith(".")]
+    whole = (tmp_path / "c" / name).read_bytes()
+    first = len(gzip.compress(b"")) and whole.index(b"\x1f\x8b", 2)
+    (tmp_path / "c" / name).write_bytes(whole[first:])
+    with pytest.raises(ValueError, match="not in the archive"):
+        warc.read(spark, folder)
+    os.remove(tmp_path / "c" / name)
+    with pytest.raises(Exception, match="is missing"):
+        warc.read(spark, folder)
+
+
+def test_one_id_or_an_outlier_does_not_fill_a_shard(spark, tmp_path):
+    rows = [(None, f"http://h/{i}", f"{i} " * 100) for i in range(40)] + [(1 << 60, "x", "y" * 300)] + [(i, "z", f"{i}z" * 100) for i in range(40)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    files = warc.write(table, f"file://{tmp_path}/o", shard_bytes=3000).collect()
+    assert len({f.file[:11] for f in files}) >= 5 and max(f.records for f in files) <= 40
+    got = warc.read(spark, f"file://{tmp_path}/o").collect()
+    assert sorted(((r.page_id, bytes(r.payload).decode()) for r in got), key=str) == sorted(((i, h) for i, _, h in rows), key=str)
+
+
 def test_null_ids_repeated_rows_and_empty_table(spark, tmp_path):
     rows = [(None, "u", "b" * 120), (4, "u", "b" * 120), (4, "u", "b" * 120), (3, "v", None), (3, "v", None), (9, "w", "c" * 100), (9, "w", "c" * 100)]
     table = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, digest int")
