@@ -16,15 +16,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import load_ranks
+from .common import by_shard, commit_file, shard_bounds, shared_dir, stored, with_uid
 
-#: Tokens of a packed row, and tokens that one packing window holds in memory.
+#: Tokens of a packed row, and bytes of text in one packing window, which one task holds in memory as ids.
 ROW = 2048
-WINDOW = 1 << 22
+WINDOW = 1 << 24
 
 SCHEMA = "pack_id long, n_tokens int, n_segments int, ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, doc_offsets array<int>"
 _ARROW = pa.schema(
@@ -116,33 +116,31 @@ def pack(docs: DataFrame, path: str, pattern: str, row: int = ROW, pad: int = 0,
     where segments begin and end; position_resets: where positions start again from 0; doc_ids and doc_offsets: each
     segment's document and its first token's place there, so texts of any length can be put together again. `end_id`
     is appended to every document. Null and empty texts have no tokens and, without end_id, no segment. Repeated rows
-    are packed each, ids may be null or repeat. Empty tables give no rows; other columns are left out. A task packs
-    windows of about `window` tokens of its own input, so nothing is shuffled and a task that runs again packs the same;
-    pack_id holds the partition and the row's number in it.
+    are packed each, ids may be null or repeat. Empty tables give no rows; other columns are left out. Windows are
+    stretches of some `window` bytes and one text more at most in the order of ids (see common.shard_bounds), so the
+    packing depends on the data alone, not on its files; pack_id holds the window and the row's number in it.
     """
     size = max(load_ranks(path).values()) + 1
     dtype = "<u2" if max(size, pad + 1, (end_id or 0) + 1) <= 1 << 16 else "<u4"
+    docs = with_uid(docs, id_col, text_col)
+    bounds = shard_bounds(docs.select("uid", F.octet_length("text").cast("long").alias("size")), window)
+    dealt = by_shard(docs.select("uid", "id", "text"), bounds).sortWithinPartitions("uid")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, first = _encoding(path, pattern), TaskContext.get().partitionId() << 33
-        held, pieces = 0, []
+        enc, first, pieces = _encoding(path, pattern), 0, []
         for batch in batches:
+            if batch.num_rows:
+                first = batch.column(2)[0].as_py() << 33
             for at in range(0, batch.num_rows, 256):
                 for doc, text in zip(batch.column(0).slice(at, 256).to_pylist(), batch.column(1).slice(at, 256).to_pylist(), strict=True):
-                    ids = np.array(enc.encode_ordinary(text or ""), dtype)
+                    ids = np.array(enc.encode_ordinary(text), dtype)
                     if end_id is not None:
                         ids = np.append(ids, np.array([end_id], dtype))
                     for a in range(0, len(ids), row):
                         pieces.append((doc, a, ids[a : a + row]))
-                    held += len(ids)
-                    if held >= window:
-                        for b in _packs(pieces, row, pad, dtype, first):
-                            first += b.num_rows
-                            yield b
-                        held, pieces = 0, []
         yield from _packs(pieces, row, pad, dtype, first)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(rows, SCHEMA)
+    return dealt.select("id", "text", "shard").mapInArrow(rows, SCHEMA)
 
 
 def positions(cu_seqlens: list[int], row: int = ROW) -> np.ndarray:
@@ -153,32 +151,75 @@ def positions(cu_seqlens: list[int], row: int = ROW) -> np.ndarray:
     return out
 
 
+_META = ("pack_id", "n_tokens", "cu_seqlens", "position_resets", "doc_ids", "doc_offsets")
+
+
 def write(packed: DataFrame, folder: str) -> DataFrame:
-    """Write each partition's id matrix (<name>.ids, rows one after the other) and its rows' segments (<name>.json).
+    """Write each window's id matrix (<name>.ids, rows one after the other) and its rows' segments (<name>.json).
 
-    Files get temporary names and are renamed when whole, the matrix last. Returns (name, rows, bytes, sha256).
+    `packed` is what `pack` gives: a partition is a window, and names follow its number. Files get temporary names and are
+    renamed when whole, the matrix last; the manifest names the valid files and is committed after all of them. A task that
+    runs again writes the same bytes to the same names. Returns the manifest (name, rows, bytes, sha256).
     """
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, local = pafs.FileSystem.from_uri(folder)
-        name = f"packed-{TaskContext.get().partitionId():06d}"
-        temp = f"{local}/_temporary-{name}-{uuid.uuid4().hex}"
+        name, ids, meta = None, None, None
         count, size, digest = 0, 0, hashlib.sha256()
-        with own.open_output_stream(temp + ".ids") as ids, own.open_output_stream(temp + ".json") as meta:
-            for b in batches:
-                for r in b.to_pylist():
-                    ids.write(r["ids"])
-                    digest.update(r["ids"])
-                    size, count = size + len(r["ids"]), count + 1
-                    meta.write((json.dumps({k: r[k] for k in ("pack_id", "cu_seqlens", "position_resets", "doc_ids", "doc_offsets")}) + "\n").encode())
-        if count:
-            own.move(temp + ".json", f"{local}/{name}.json")
-            own.move(temp + ".ids", f"{local}/{name}.ids")
+        for b in batches:
+            for r in b.to_pylist():
+                if name is None:
+                    name = f"packed-{r['pack_id'] >> 33:07d}"
+                    temp = f"{local}/_temporary-{name}-{uuid.uuid4().hex}"
+                    ids, meta = own.open_output_stream(temp + ".ids"), own.open_output_stream(temp + ".json")
+                ids.write(r["ids"])
+                digest.update(r["ids"])
+                size, count = size + len(r["ids"]), count + 1
+                meta.write((json.dumps({k: r[k] for k in _META}) + "\n").encode())
+        if name is not None:
+            for file, end in ((meta, ".json"), (ids, ".ids")):
+                file.close()
+                commit_file(own, temp + end, f"{local}/{name}{end}")
             yield pa.RecordBatch.from_pylist([{"name": name, "rows": count, "bytes": size, "sha256": digest.hexdigest()}])
-        else:
-            own.delete_file(temp + ".ids")
-            own.delete_file(temp + ".json")
 
-    return packed.mapInArrow(rows, "name string, rows long, bytes long, sha256 string")
+    manifest = stored(packed.mapInArrow(rows, "name string, rows long, bytes long, sha256 string"), "manifest")
+    temp = f"{root}/_temporary-manifest-{uuid.uuid4().hex}"
+    with fs.open_output_stream(temp) as f:
+        for r in manifest.orderBy("name").toLocalIterator():
+            f.write((json.dumps(r.asDict()) + "\n").encode())
+    commit_file(fs, temp, f"{root}/MANIFEST.jsonl")
+    return manifest
+
+
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """The packed rows (as `pack` gives them) of the files that the manifest names, their sizes and digests checked."""
+    names = spark.read.schema("name string, rows long, bytes long, sha256 string").json(f"{folder}/MANIFEST.jsonl")
+    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    for end in ("ids", "json"):
+        one = files.filter(F.col("file").endswith(f".{end}")).select(F.regexp_replace("file", rf"\.{end}$", "").alias("name"), F.col("content").alias(end))
+        names = names.join(one, "name", "left")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, count, sha256, ids, meta in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if ids is None or meta is None or hashlib.sha256(ids).hexdigest() != sha256:
+                    raise ValueError(f"{name} is not what the manifest says")
+                lines = meta.splitlines()
+                if len(lines) != count:
+                    raise ValueError(f"{name} has not {count} rows")
+                width = len(ids) // count
+                for lo in range(0, count, 256):
+                    own = [json.loads(x) for x in lines[lo : lo + 256]]
+                    cols = {k: [r[k] for r in own] for k in _META} | {"n_segments": [len(r["doc_ids"]) for r in own], "ids": [ids[k * width : (k + 1) * width] for k in range(lo, lo + len(own))]}
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in _ARROW], schema=_ARROW)
+
+    return names.select("name", "rows", "sha256", "ids", "json").mapInArrow(rows, SCHEMA)
+
+
+def archive(packed: DataFrame, folder: str | None = None) -> DataFrame:
+    """Write packed rows to a new folder in the shared one, or to `folder`, and read them back."""
+    folder = folder or f"{shared_dir(packed.sparkSession)}/packed-{uuid.uuid4().hex}"
+    write(packed, folder)
+    return read(packed.sparkSession, folder)

@@ -66,7 +66,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.archive(table(spark, sf_dir, "pages"), payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 @_query
@@ -78,7 +78,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack(table(spark, sf_dir, "documents"), bpe_path(), public_tokenizers.PATTERN)
+    return packing.archive(packing.pack(table(spark, sf_dir, "documents"), bpe_path(), public_tokenizers.PATTERN))
 
 
 @_query

@@ -56,15 +56,19 @@ def test_documents_come_back_whole(spark, tmp_path):
     full = sum(len(enc.encode_ordinary(t or "")) + 1 for t in texts)
     assert full / (128 * len(rows)) > 0.9
     files = packing.write(packed, f"file://{tmp_path}/out").collect()
-    assert sum(f.rows for f in files) == len(rows)
+    assert sum(f.rows for f in files) == len(rows) and len(files) > 2
     for f in files:
         matrix = np.fromfile(tmp_path / "out" / f"{f.name}.ids", "<u2").reshape(-1, 128)
         meta = [json.loads(x) for x in (tmp_path / "out" / f"{f.name}.json").read_text().splitlines()]
         assert len(matrix) == len(meta) == f.rows
+    back = packing.read(spark, f"file://{tmp_path}/out").collect()
+    assert sorted(back) == sorted(rows)
+    again = packing.pack(docs.repartition(5), PATH, PATTERN, row=128, pad=7, end_id=50256, window=3000)
+    assert sorted(again.collect()) == sorted(rows)
 
 
 def test_empty_table_and_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b"), (2, None)], "doc_id long, text string")
-    (r,) = packing.pack(docs.coalesce(1), PATH, PATTERN, row=16).collect()
+    (r,) = packing.pack(docs, PATH, PATTERN, row=16).collect()
     assert sorted(r.doc_ids, key=str) == [1, 1, None] and r.n_segments == 3
     assert packing.pack(docs.filter("false"), PATH, PATTERN).collect() == []
