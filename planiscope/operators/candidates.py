@@ -1,13 +1,8 @@
-"""Candidate generators: each gives (features), sorted sets of columns worth validating, under a method key.
-
-What the generators draw at random is drawn by a hash of the set and a seed. Tree methods use Spark's forests, whose
-nodes are read from the model's own node table.
-"""
+"""Tables of column sets: their provenance, the best of each size, and weighted products of columns."""
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,71 +23,6 @@ def drawn(sets: DataFrame, k: int, seed: int = 0) -> DataFrame:
     return sets.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k).drop("rk")
 
 
-def pool(scores: DataFrame, by: str, k: int) -> DataFrame:
-    w = Window.orderBy(F.round(by, 9).desc(), "feature")  # one row per column
-    return scores.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k).drop("rk")
-
-
-def topk_random(scores: DataFrame, sizes=(2, 3), k: int = 20, draws: int = 120) -> DataFrame:
-    some = drawn(f.column_sets(pool(scores, "mi", k), sizes), draws)
-    near = [f.neighbour_windows(pool(scores, "mi", k), s) for s in sizes]
-    for n in near:
-        some = some.unionByName(n)
-    return some.distinct()
-
-
-def chi2_sets(scores: DataFrame, sizes=(2, 3), k: int = 20, draws: int = 120) -> DataFrame:
-    return drawn(f.column_sets(pool(scores, "chi2", k), sizes), draws)
-
-
-def chi2_guided(scores: DataFrame, sizes=(2, 3), k: int = 28, keep: int = 40) -> DataFrame:
-    """Sum of chi-square + .45 mutual information + .12 log(1 + distinct values), each chi-square over the largest."""
-    own = pool(scores, "chi2", k)
-    each = f.column_sets(own, sizes).select("features", F.explode("features").alias("feature")).join(F.broadcast(own.select("feature", "chi2", "mi", "distinct")), "feature")
-    out = each.groupBy("features").agg(F.sum(F.col("chi2") + 0.45 * F.col("mi") + 0.12 * F.log(1 + F.col("distinct"))).alias("score"))
-    return top(out, keep).select("features")
-
-
-def correlated_pairs(corr: DataFrame, threshold: float = 0.55) -> DataFrame:
-    return corr.filter(F.abs("corr") >= threshold).select(F.array_sort(F.array("a", "b")).alias("features"))
-
-
-def correlated_guided(corr: DataFrame, scores: DataFrame, sizes=(2, 3), threshold: float = 0.55, keep: int = 60) -> DataFrame:
-    """Sets all of whose correlations reach .85 of the threshold, by mean correlation times 1 + .35 mutual information."""
-    sets = f.column_sets(scores, sizes)
-    c = sets.join(F.broadcast(corr), F.array_contains("features", F.col("a")) & F.array_contains("features", F.col("b"))).groupBy("features").agg(F.avg(F.abs("corr")).alias("c"), F.min(F.abs("corr")).alias("least"))
-    m = sets.select("features", F.explode("features").alias("feature")).join(F.broadcast(scores.select("feature", "mi")), "feature").groupBy("features").agg(F.sum("mi").alias("m"))
-    good = c.filter(F.col("least") >= 0.85 * threshold).join(m, "features")
-    return top(good.withColumn("score", F.col("c") * (1 + 0.35 * F.col("m"))), keep).select("features")
-
-
-def greedy(scores: list[tuple[str, float]], corr: dict[tuple[str, str], float], sizes=(2, 3), seeds: int = 8, penalty: float = 0.18) -> list[list[str]]:
-    """From each of the best columns, add the one that most raises information minus correlation; one row per column."""
-    mi = dict(scores)
-    names = sorted(mi, key=lambda n: (-mi[n], n))
-    pair = lambda a, b: abs(corr.get((a, b), corr.get((b, a), 0.0)))
-    out = set()
-    for s in names[:seeds]:
-        own = [s]
-        while len(own) < max(sizes) and len(own) < len(names):
-            own.append(max((n for n in names if n not in own), key=lambda n: (mi[n] - penalty * sum(pair(n, o) for o in own), n)))
-            if len(own) in sizes:
-                out.add(tuple(sorted(own)))
-    return [list(s) for s in sorted(out)]
-
-
-def leverage(df: DataFrame, columns: list[str], rank: int = 8) -> list[tuple[str, float]]:
-    """Leverage of columns: squared loadings on the first principal directions of the standardised columns."""
-    import numpy as np
-
-    stats = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)]).first()
-    corr = {(r["a"], r["b"]): r["corr"] for r in f.correlations(df, columns).collect()}
-    m = np.array([[1.0 if a == b else corr.get((a, b), corr.get((b, a))) or 0.0 for b in columns] for a in columns])
-    live = [i for i in range(len(columns)) if stats[f"s{i}"] and stats[f"s{i}"] > 1e-12]
-    v = np.linalg.eigh(m[np.ix_(live, live)])[1][:, ::-1][:, : min(rank, len(live))]
-    return [(columns[i], float((v[k] ** 2).sum())) for k, i in enumerate(live)]
-
-
 def weighted_gram(df: DataFrame, columns: list[str], weight: Column) -> DataFrame:
     """(a, b, g): sums of weight times products of standardised columns, one scan after the moments."""
     stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
@@ -106,33 +36,6 @@ def gram_pairs(gram: DataFrame, keep: int = 70) -> DataFrame:
     return top(gram.filter("a <> b").select(F.array_sort(F.array("a", "b")).alias("features"), F.abs("g").alias("score")), keep).select("features")
 
 
-def forest_paths(df: DataFrame, columns: list[str], label: str = "y", trees: int = 20, depth: int = 4, sizes=(2, 3), keep: int = 70, seed: int = 0, bootstrap: bool = True) -> DataFrame:
-    """Sets of columns that share trees of a random forest, by the number of trees; without bootstrap, by all rows."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    data = VectorAssembler(inputCols=columns, outputCol="_v", handleInvalid="skip").transform(df).select("_v", F.col(label).cast("double").alias("_y"))
-    model = RandomForestClassifier(featuresCol="_v", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed, bootstrap=bootstrap, subsamplingRate=1.0).fit(data)
-    import re
-
-    rows = []
-    for t, tree in enumerate(model.trees):
-        used = sorted({columns[int(i)] for i in re.findall(r"feature (\d+)", tree.toDebugString)})
-        rows += [(t, list(s)) for k in sizes for s in itertools.combinations(used, k)]
-    table = df.sparkSession.createDataFrame(rows, "tree int, features array<string>")
-    return top(table.groupBy("features").agg(F.count_distinct("tree").alias("score")), keep).select("features")
-
-
-def minhash_sets(df: DataFrame, masks: dict[str, Column], key: str = "row_id", perms: int = 20, band: int = 4) -> DataFrame:
-    """Pairs of columns whose row masks fall into a common band of minimum hashes; columns are named with their masks."""
-    each = F.explode(F.array(*[F.when(m, F.lit(c)) for c, m in masks.items()]))
-    hashes = [F.min(F.xxhash64(key, F.lit(p))).alias(f"h{p}") for p in range(perms)]
-    sig = df.select(key, each.alias("c")).filter("c is not null").groupBy("c").agg(*hashes)
-    bands = sig.select("c", F.posexplode(F.array(*[F.concat_ws(":", *[F.col(f"h{p}") for p in range(i, i + band)]) for i in range(0, perms, band)])).alias("band", "v"))
-    a, b = bands.alias("a"), bands.alias("b")
-    return a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.c") < F.col("b.c"))).select(F.array("a.c", "b.c").alias("features")).distinct()
-
-
 def assembled(methods: dict[str, DataFrame], cap: int | None = None) -> DataFrame:
     """(features, methods, n_methods): union of all methods' sets with their provenance; `cap` limits each method by hash."""
     out = None
@@ -153,9 +56,3 @@ def annotated(sets: DataFrame, reports: DataFrame, best: int = 50) -> DataFrame:
 def method_matrix(sets: DataFrame, methods: list[str]) -> DataFrame:
     """One row per set, one yes or no column per method."""
     return sets.select(F.concat_ws(",", "features").alias("features"), *[F.when(F.array_contains("methods", m), "yes").otherwise("no").alias(m) for m in methods])
-
-
-METHODS: dict[str, Callable] = {
-    "topk_random": topk_random, "topk_guided": f.guided_sets, "chi2": chi2_sets, "chi2_guided": chi2_guided, "corr_groups": correlated_pairs, "corr_guided": correlated_guided, "forest_paths": forest_paths,
-    "leverage": leverage, "sparse_projection": f.fisher_ratio, "lazy_greedy": greedy, "count_sketch": f.count_sketch, "gradient_gram": gram_pairs, "minhash": minhash_sets,
-}

@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import percentiles
+
 # --------------------------------------------------------------------------- scores
 
 
@@ -50,8 +52,8 @@ def _entropy2(o: Column, n: Column) -> Column:
 
 def stump_drop(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """(feature, drop): entropy lost, in bits, by splitting a numeric feature at its median."""
-    med = df.agg(*[F.percentile(f, F.lit(0.5)).alias(f) for f in features]).first()
-    halves = df.select(F.col(label).alias("y"), *[(F.col(f) > med[f]).cast("int").alias(f) for f in features])
+    med = percentiles(df, features, [0.5]).first()
+    halves = df.select(F.col(label).alias("y"), *[(F.col(f) > med[f][0]).cast("int").alias(f) for f in features])
     return _drop(contingency(halves, features, "y"))
 
 
@@ -75,7 +77,7 @@ def stump_drop_levels(table: DataFrame) -> DataFrame:
 
 def quantile_bins(df: DataFrame, feature: str, bins: int) -> DataFrame:
     """Adds bin: how many of the inner quantiles lie below the value (right-closed bins)."""
-    edges = df.agg(F.percentile(feature, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("e")).first()["e"]
+    edges = percentiles(df, [feature], [i / bins for i in range(1, bins)]).first()[feature]
     edges = sorted({round(e, 6) for e in edges})
     return df.withColumn("bin", reduce(lambda a, b: a + b, [(F.lit(e) < F.col(feature)).cast("int") for e in edges], F.lit(0)))
 
@@ -125,10 +127,11 @@ def codes_sorted(df: DataFrame, column: str, missing: str = "missing") -> DataFr
 
 def mixed_types(df: DataFrame, columns: list[str]) -> DataFrame:
     """Standardised numeric columns, a boolean above the median and a quintile label of each."""
-    stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns], *[F.percentile(c, F.array(*[F.lit(q) for q in (0.5, 0.2, 0.4, 0.6, 0.8)])).alias(f"q_{c}") for c in columns]).first()
+    stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
+    cut = percentiles(df, columns, [0.5, 0.2, 0.4, 0.6, 0.8]).first()
     out = []
     for c in columns:
-        med, *cuts = stats[f"q_{c}"]
+        med, *cuts = cut[c]
         sd = stats[f"s_{c}"] if stats[f"s_{c}"] and stats[f"s_{c}"] > 1e-12 else 1.0
         out += [((F.col(c) - stats[f"m_{c}"]) / sd).alias(f"{c}_std"), (F.col(c) > med).alias(f"{c}_high"), F.concat(F.lit("q"), reduce(lambda a, b: a + b, [(F.col(c) > x).cast("int") for x in cuts]).cast("string")).alias(f"{c}_q")]
     return df.select("*", *out)
@@ -138,10 +141,10 @@ def mixed_types(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def adaptive_sample_size(n: int, features: int, total: int | None = None) -> int:
-    """Rows worth sampling of n: at least 500; three times as many if that is between 0.1 and 5 percent of all cells."""
+    """Rows worth sampling of n: at least 500; three times as many if that is between 0.1 and 5 percent of all cells; n at most."""
     total = n * features if total is None else total
     s = max(500, min(n, math.ceil(n**0.6 * (max(1, features) / 8) ** 0.3)))
-    return 3 * s if 0.001 * total <= 3 * s <= 0.05 * total else s
+    return min(n, 3 * s if 0.001 * total <= 3 * s <= 0.05 * total else s)
 
 
 def adaptive_sample(df: DataFrame, key: str, features: int, seed: int = 0) -> DataFrame:
@@ -150,7 +153,13 @@ def adaptive_sample(df: DataFrame, key: str, features: int, seed: int = 0) -> Da
     size = adaptive_sample_size(n, features)
     if n <= 100 or n * features <= 500 or size >= n:
         return df
-    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(size)
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    # digests are even over their range: a little more than the share wanted is below a bound, and only that is sorted
+    for slack in (1.2, 3.0):
+        part = df.filter(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") < int((slack * size + 100) / n * (1 << 32)))
+        if part.limit(size).count() == size:
+            return part.orderBy(digest, key).limit(size)
+    return df.orderBy(digest, key).limit(size)
 
 
 def representativeness(part: DataFrame, whole: DataFrame, columns: list[str]) -> DataFrame:
@@ -182,54 +191,36 @@ def column_sets(ranked: DataFrame, sizes: tuple[int, ...] = (2, 3)) -> DataFrame
     return out
 
 
-def neighbour_windows(ranked: DataFrame, size: int = 2, spread: float = 0.15) -> DataFrame:
-    """Sets of `size` features that follow each other by mutual information and lie within `spread` of the largest."""
-    w = Window.orderBy(F.col("mi").desc(), "feature")
-    run = w.rowsBetween(0, size - 1)
-    rows = ranked.select(F.collect_list("feature").over(run).alias("fs"), F.collect_list("mi").over(run).alias("ms"))
-    hi, lo = F.array_max("ms"), F.array_min("ms")
-    return rows.filter((F.size("fs") == size) & (hi > 0) & ((hi - lo) / hi <= spread)).select(F.array_sort("fs").alias("features"))
-
-
 def proxy_scores(sets: DataFrame, scores: DataFrame) -> DataFrame:
     """Adds proxy: the features' mutual information over the root of their number."""
     each = sets.select("features", F.explode("features").alias("feature")).join(F.broadcast(scores.select("feature", "mi")), "feature")
     return each.groupBy("features").agg((F.sum("mi") / F.sqrt(F.count("*"))).alias("proxy"), F.avg("mi").alias("mean_mi"))
 
 
-def guided_sets(sets: DataFrame, scores: DataFrame, corr: DataFrame, top: int = 45) -> DataFrame:
-    """Sets by sum of mutual information - .22 sum of |corr| + .18 least mutual information, the `top` of each size."""
-    mi = sets.select("features", F.explode("features").alias("feature")).join(F.broadcast(scores.select("feature", "mi")), "feature").groupBy("features").agg(F.sum("mi").alias("s"), F.min("mi").alias("least"))
-    c = sets.join(F.broadcast(corr), F.array_contains("features", F.col("a")) & F.array_contains("features", F.col("b"))).groupBy("features").agg(F.sum(F.abs("corr")).alias("c"))
-    out = mi.join(c, "features").select("features", (F.col("s") - 0.22 * F.col("c") + 0.18 * F.col("least")).alias("score"))
-    w = Window.partitionBy(F.size("features")).orderBy(F.round("score", 9).desc(), "features")
-    return out.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= top).drop("rk")
-
-
-def fisher_ratio(df: DataFrame, projections: list[list[float]], features: list[str], label: str) -> DataFrame:
-    """(projection, fisher): variance of class means over mean class variance of each projection."""
-    from ..functions.geometry import linear
-
-    rows = df.select(F.col(label).alias("y"), F.posexplode(F.array(*[linear(features, p, 0.0) for p in projections])).alias("projection", "z"))
-    per = rows.groupBy("projection", "y").agg(F.avg("z").alias("m"), F.var_pop("z").alias("v"))
-    return per.groupBy("projection").agg((F.var_pop("m") / (F.avg("v") + 1e-9)).alias("fisher"))
-
-
-def count_sketch(df: DataFrame, sets: list[list[str]], label: str, primes: tuple[int, ...] = (3, 5, 7), buckets: int = 257, least: float = 0.55) -> DataFrame:
-    """(features, share): column sets of which some class has a bucket with at least `least` of its rows.
-
-    The columns hold small codes; a row's bucket is the XOR of (code + 1) * prime modulo `buckets`.
-    """
-    h = lambda s: reduce(lambda a, b: a.bitwiseXOR(b), [((F.col(c) + 1) * p % buckets).cast("int") for c, p in zip(s, primes, strict=False)])
-    each = F.explode(F.array(*[F.struct(F.array(*[F.lit(c) for c in s]).alias("features"), h(s).alias("h")) for s in sets]))
-    counts = df.select(F.col(label).alias("y"), each.alias("e")).groupBy("e.features", "y", "e.h").agg(F.count("*").alias("n"))
-    share = counts.groupBy("features", "y").agg((F.max("n") / F.sum("n")).alias("share")).groupBy("features").agg(F.max("share").alias("share"))
-    return share.filter(F.col("share") >= least)
-
-
 def diverse_pick(reports: DataFrame, limit: int) -> DataFrame:
     """Reports in turn by set size, the size of the best report first, until `limit`; columns size and score."""
     w = Window.partitionBy("size").orderBy(F.col("score").desc(), "id")
     rows = reports.select("*", F.row_number().over(w).alias("turn"), F.max("score").over(Window.partitionBy("size")).alias("best"))
     order = Window.orderBy("turn", F.col("best").desc(), "size")
     return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit).drop("turn", "best")
+
+
+def one_hot(df: DataFrame, label: str, classes: list) -> DataFrame:
+    """Adds onehot: 1.0 at the label's place among `classes`, all 0.0 for a label that is none of them or null."""
+    return df.withColumn("onehot", F.array(*[F.when(F.col(label) == c, 1.0).otherwise(0.0) for c in classes]))
+
+
+def l1_importance(df: DataFrame, features: list[str], label: str, c: float = 0.8, most: int = 2500, key: str = "row_id") -> list[tuple[str, float]]:
+    """Mean absolute weights of an L1-regularised logistic regression on standardised columns of at most `most` rows, drawn
+    by a digest of the key; best first."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    n = df.count()
+    part = df if n <= most else df.filter(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long") < int(most / n * (1 << 32)))
+    stats = part.agg(*[F.avg(x).alias(f"m {x}") for x in features], *[F.stddev_pop(x).alias(f"s {x}") for x in features], F.count("*").alias("n")).first()
+    z = [((F.col(x) - (stats[f"m {x}"] or 0.0)) / (stats[f"s {x}"] if stats[f"s {x}"] and stats[f"s {x}"] > 1e-12 else 1.0)).alias(x) for x in features]
+    data = VectorAssembler(inputCols=features, outputCol="_v", handleInvalid="skip").transform(part.select(F.col(label).cast("double").alias("_y"), *z))
+    model = LogisticRegression(featuresCol="_v", labelCol="_y", elasticNetParam=1.0, regParam=1 / (c * max(1, stats["n"])), standardization=False, maxIter=200).fit(data)
+    weights = model.coefficientMatrix.toArray()
+    return sorted(zip(features, abs(weights).mean(axis=0).tolist(), strict=True), key=lambda r: (-round(r[1], 9), r[0]))

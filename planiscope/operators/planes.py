@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import metrics
 from . import cells as cell_ops
 from .cells import HalfSpace
+from .graph import components
+from .quantiles import percentiles
 
 #: Half-spaces up to which families are joined up on the driver.
 DRIVER_BANK = 4096
@@ -18,9 +20,8 @@ HALF_SPACES = "hs_id int, plane_id string, oriented_id string, feature int, thre
 
 
 def quantile_cuts(samples: DataFrame, features: list[str], count: int = 15, low: float = 0.2, high: float = 0.8, digits: int = 6) -> list[list[float]]:
-    """Exact quantiles of every feature at `count` even steps, rounded; one scan."""
-    at = F.array(*[F.lit(low + (high - low) * i / (count - 1)) for i in range(count)])
-    row = samples.agg(*[F.percentile(f, at).alias(f) for f in features]).first()
+    """Exact quantiles of every feature at `count` even steps, rounded; two scans."""
+    row = percentiles(samples, features, [low + (high - low) * i / (count - 1) for i in range(count)]).first()
     return [[round(x, digits) for x in row[f]] for f in features]
 
 
@@ -136,14 +137,14 @@ def region_jaccard(cells: DataFrame, size: int) -> DataFrame:
     return out.select("a", "b", metrics.ratio(F.col("both"), F.col("na") + F.col("nb") - F.col("both")).alias("jaccard"))
 
 
-def families(ids: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFrame:
+def families(ids: DataFrame, edges: DataFrame, driver_bank: int = DRIVER_BANK) -> DataFrame:
     """(hs_id, family): family is the smallest id that edges reach.
 
-    A bank of up to DRIVER_BANK half-spaces, which is a list on the driver to begin with, is joined up there; of a
-    larger one labels spread by min until none changes.
+    A bank of up to `driver_bank` half-spaces, which is a list on the driver to begin with, is joined up there; a larger
+    one by star contraction, until nothing changes.
     """
-    found = ids.limit(DRIVER_BANK + 1).collect()
-    if len(found) <= DRIVER_BANK:
+    found = ids.limit(driver_bank + 1).collect()
+    if len(found) <= driver_bank:
         label = {r["hs_id"]: r["hs_id"] for r in found}
 
         def root(x: int) -> int:
@@ -156,31 +157,8 @@ def families(ids: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFrame:
             x, y = root(e["a"]), root(e["b"])
             label[max(x, y)] = min(x, y)
         return ids.sparkSession.createDataFrame([(x, root(x)) for x in label], "hs_id int, family int")
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).cache()
-    labels = ids.select("hs_id", F.col("hs_id").alias("family"))
-    for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("hs_id", "b"), "b").groupBy("a").agg(F.min("family").alias("near"))
-        new = labels.join(near, labels["hs_id"] == near["a"], "left").select("hs_id", "family", F.least("family", F.coalesce("near", "family")).alias("now"))
-        new = _cut(new)
-        changed = new.filter("now < family").take(1)
-        labels = new.select("hs_id", F.col("now").alias("family"))
-        if not changed:
-            break
-    return labels
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """End the lineage on reliable storage."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path:
-            import tempfile
-
-            path = tempfile.mkdtemp(prefix="planiscope-")
-        sc.setCheckpointDir(path)
-    return df.checkpoint()
+    roots = components(edges)
+    return ids.join(roots, ids["hs_id"] == roots["node"], "left").select("hs_id", F.coalesce("root", "hs_id").cast("int").alias("family"))
 
 
 def best_per_family_side(scored: DataFrame, spaces: DataFrame, family: DataFrame) -> DataFrame:
@@ -261,8 +239,9 @@ def sliced(n: list[float], b: float, dims: list[int], reference: list[float]) ->
 
 
 def sketched(samples: DataFrame, bank: list[HalfSpace], features: list[str], key: str, share: float = 0.1, label: str = "y", **guard) -> DataFrame:
-    """Guardrails on a hash sample of rows, then again on all rows for the survivors: two scans, the first one short."""
-    part = samples.filter(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(share * 1_000_000))
+    """Guardrails on a sample of rows drawn by a digest of their key, then on all rows for the survivors: the second scan
+    has the half-spaces that are left only."""
+    part = samples.filter(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long") < int(share * (1 << 32)))
     sketch = with_metrics(confusion(cell_ops.histogram(part, [h.column(features) for h in bank], label), len(bank)))
     alive = sorted({r["hs_id"] for r in guardrails(sketch, **guard).select("hs_id").distinct().collect()})  # ids of the bank
     if not alive:
@@ -300,6 +279,27 @@ def greedy_conjunction(cells: DataFrame, size: int, target: int, most: int = 4,
     return chosen
 
 
+def extracted(sources: list[DataFrame], spaces: DataFrame) -> DataFrame:
+    """(y, oriented_id, plane_id, side, n, b, priority): planes proposed for a class by several sources (y, hs_id and
+    priority), the first source and then the highest priority winning where they propose the same oriented plane."""
+    out = None
+    for place, rows in enumerate(sources):
+        one = rows.select("y", "hs_id", "priority", F.lit(place).alias("source"))
+        out = one if out is None else out.unionByName(one)
+    w = Window.partitionBy("y", "oriented_id").orderBy("source", F.round("priority", 9).desc(), "hs_id")
+    named = out.join(F.broadcast(spaces), "hs_id").withColumn("oriented_id", F.coalesce("oriented_id", F.md5(F.concat_ws(",", F.transform("n", lambda v: F.format_string("%.9f", v)), F.format_string("%.9f", F.col("b")), F.col("side").cast("string")))))
+    return named.withColumn("rk", F.row_number().over(w)).filter("rk = 1").select("y", "oriented_id", "plane_id", "side", "n", "b", "priority", "source")
+
+
+def completed(planes_: DataFrame, regions: DataFrame) -> DataFrame:
+    """Fills n_norm, b_norm and side of planes from the geometry of the regions with their oriented ids; planes that stay
+    without a normal are dropped."""
+    own = regions.select("oriented_id", *[F.col(c).alias(f"_{c}") for c in ("n_norm", "b_norm", "side")])
+    others = [c for c in planes_.columns if c not in ("oriented_id", "n_norm", "b_norm", "side")]
+    out = planes_.join(own, "oriented_id", "left").select("oriented_id", *others, *[F.coalesce(c, f"_{c}").alias(c) for c in ("n_norm", "b_norm", "side")])
+    return out.filter(F.col("n_norm").isNotNull() & F.col("b_norm").isNotNull())
+
+
 def with_perfect_clones(cand: DataFrame, least: float = 0.999) -> DataFrame:
     """Candidates (plane_id, side, priority, precision) with the other side of near-perfect ones, just below them."""
     clones = cand.filter(F.col("precision") >= least).withColumn("side", -F.col("side")).withColumn("priority", F.col("priority") - 1e-6)

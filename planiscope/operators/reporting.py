@@ -92,3 +92,10 @@ def text_report(rows: list[dict], per_class: int = 2) -> str:
         if r["rank"] <= per_class:
             out.append(f"class {r['class_id']} #{r['rank']} {r['region_id']}: f1 {show(r['f1'])}, lift {show(r['lift'])}, precision {show(r['precision'])}, recall {show(r['recall'])}, support {r['support']}" + (" [pareto]" if r["is_pareto"] else ""))
     return "\n".join(out)
+
+
+def surface_grid(spark, low: list[float], high: list[float], steps: int = 20) -> DataFrame:
+    """(cell, x): an even grid of steps**d points over a box, for drawing surfaces; made on the executors."""
+    d = len(low)
+    at = F.array(*[F.lit(float(a)) + (F.floor(F.col("id") / steps**i) % steps) * ((float(b) - float(a)) / max(1, steps - 1)) for i, (a, b) in enumerate(zip(low, high, strict=True))])
+    return spark.range(steps**d).select(F.col("id").alias("cell"), at.alias("x"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
 from . import cells as cell_ops
 from . import planes as p
 from .cells import HalfSpace
+from .quantiles import percentiles
 
 
 def threshold_selection(samples: DataFrame, features: list[str], pairs: list[tuple[int, int]], count: int = 15) -> DataFrame:
@@ -51,10 +53,13 @@ def axis_frontier(samples: DataFrame, features: list[str], pairs: list[tuple[int
     """Distinct cuts per pair and axis: `between` even steps between the class means and the pair's quartiles."""
     m = _means(samples, features, label)
     out = None
+    # each row belongs to the pairs of its class: one table of quartiles for all pairs
+    which = F.array_compact(F.array(*[F.when(F.col(label).isin(a, b), F.lit(i)) for i, (a, b) in enumerate(pairs)]))
+    quartiles = percentiles(samples.select(*features, F.explode(which).alias("pair")), features, [0.25, 0.5, 0.75], ("pair",))
+    quartiles = quartiles.select("pair", F.posexplode(F.array(*features)).alias("dim", "q"))
     steps = F.array(*[F.lit((i + 1) / (between + 1)) for i in range(between)])
-    for pa, pb in pairs:
-        own = samples.filter(F.col(label).isin(pa, pb)).agg(*[F.percentile(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f) for f in features])
-        q = own.select(F.posexplode(F.array(*features)).alias("dim", "q"))
+    for i, (pa, pb) in enumerate(pairs):
+        q = quartiles.filter(F.col("pair") == i).drop("pair")
         ma, mb = m.filter(F.col("y") == pa).select("dim", F.col("m").alias("ma")), m.filter(F.col("y") == pb).select("dim", F.col("m").alias("mb"))
         cuts = ma.join(mb, "dim").join(q, "dim").select(F.lit(pa).alias("pair_a"), F.lit(pb).alias("pair_b"), "dim", F.explode(F.concat(F.transform(steps, lambda t: F.col("ma") + (F.col("mb") - F.col("ma")) * t), "q")).alias("t"))
         out = cuts if out is None else out.unionByName(cuts)
@@ -68,7 +73,7 @@ def prune_and_orient(samples: DataFrame, bank: list[HalfSpace], features: list[s
     best of its family and side.
     """
     spark = samples.sparkSession
-    cells = cell_ops.histogram(samples, [h.column(features) for h in bank], label).cache()
+    cells = stored(cell_ops.histogram(samples, [h.column(features) for h in bank], label), "cells")
     scored = p.with_metrics(p.confusion(cells, len(bank)))
     spaces = p.normalized(p.half_space_table(spark, bank))
     edges = p.family_edges(spaces, p.region_jaccard(cells, len(bank)), tau=tau)

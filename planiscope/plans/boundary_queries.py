@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import boundary as b
+from ..storage import stored
 from .catalog import query
 from .inputs import r6, table
 
@@ -58,7 +59,7 @@ nr AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(d, 9), j) AS r
 
 
 def near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b.nearest_pairs(b.margin_seeds(rows(spark, sf_dir), 0, 1), 0, 1)
+    return b.nearest_pairs(stored(b.margin_seeds(rows(spark, sf_dir), 0, 1), "seeds"), 0, 1)  # at most 96 rows
 
 
 @query(f"WITH {_BASE}{_SEEDS}{_PAIRS} SELECT i, j, round(d, 6) AS d FROM near")
@@ -169,7 +170,7 @@ def f03_tls_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f23_frontier_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import surfaces
 
-    return surfaces.frontier_planes(points(spark, sf_dir).select("y0", "y1", "x"))
+    return surfaces.frontier_planes(points(spark, sf_dir).select("y0", "y1", "x", "x0"), subspaces=[[0, 1]])
 
 
 @query()
@@ -210,3 +211,68 @@ def f15_residual_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_BASE} SELECT vec_id, round(v[1] * 0.6 + v[2] * 0.8 - 0.1, 6) AS residual FROM e")
 def k01_plane_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, sf_dir).select(F.col("row_id").alias("vec_id"), F.round(g.residual(F.slice("features", 1, 2), g.vector([0.6, 0.8]), F.lit(-0.1)), 6).alias("residual"))
+
+
+@query(f"WITH {_BASE} SELECT vec_id, CAST(label AS INTEGER) AS label, round(p[1], 6) AS p0 FROM l")
+def b02_scored_once_by_a_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import models
+
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 3).alias("features"))
+    return models.scored_once_by(e, PREDICT, digits=12).select("vec_id", "label", F.round(F.element_at("p", 1), 6).alias("p0"))
+
+
+_SPLITS = [(0, -0.1), (0, 0.0), (0, 0.1), (1, -0.05), (1, 0.05), (2, 0.0)]
+_CROSS = f""", sp(feature, threshold) AS (VALUES {', '.join(map(str, _SPLITS))}), sg AS (SELECT vec_id, x0, x1 FROM q),
+cr AS (SELECT vec_id, (threshold - x0[feature + 1]) / (x1[feature + 1] - x0[feature + 1]) AS t FROM sg JOIN sp ON threshold > least(x0[feature + 1], x1[feature + 1]) AND threshold < greatest(x0[feature + 1], x1[feature + 1]))"""
+
+
+@query(f"WITH {_BASE}{_REC}{_CROSS} SELECT vec_id, count(DISTINCT round(t / 1e-9)) AS crossings, round(min(t), 6) AS first FROM cr GROUP BY vec_id")
+def b16_split_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segs = records(spark, sf_dir).select(F.col("row_id").alias("seg_id"), "x0", F.col("x1").alias("xb"))
+    splits = spark.createDataFrame(_SPLITS, "feature int, threshold double")
+    t = b.split_crossings(segs, splits)
+    return t.groupBy(F.col("seg_id").alias("vec_id")).agg(F.count("*").alias("crossings"), F.round(F.min("t"), 6).alias("first"))
+
+
+@query()
+def b19_sample_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.slice(F.col("embedding").cast("array<double>"), 1, 3).alias("features"))
+    return b.sample_boundary(e, (MODEL, PREDICT), target=60).select("rec_id", "a", "b", "place", *r6("final_score"))
+
+
+_DIMS = 64
+
+
+@query("WITH u AS (SELECT unnest(range(64)) AS dim), e AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT round(sum(x), 4) AS total FROM (SELECT var_pop(v[dim + 1]) AS x FROM e, u GROUP BY dim)")
+def b22_principal_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 64 axes of the embeddings; what they explain together is the columns' total variance."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>").alias("v"))
+    return b.principal_axes(e, "v", _DIMS, _DIMS).agg(F.round(F.sum("variance"), 4).alias("total"))
+
+
+@query(f"""WITH {_BASE}{_REC}{_MET}{_FIN}, pt AS (SELECT vec_id, y0, y1, x1 AS x, pow(greatest(0, least(1, final_score)), 2) AS raw FROM fin WHERE success),
+ds AS (SELECT a.vec_id, a.y0, a.y1, sqrt(pow(a.x[1] - b.x[1], 2) + pow(a.x[2] - b.x[2], 2) + pow(a.x[3] - b.x[3], 2)) AS d, b.vec_id AS o, count(*) OVER (PARTITION BY a.vec_id) AS m FROM pt a JOIN pt b ON a.y0 = b.y0 AND a.y1 = b.y1),
+nb AS (SELECT vec_id, greatest(avg(d), 1e-12) AS spacing FROM (SELECT * FROM ds WHERE m > 8 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 9), o) <= 9) GROUP BY vec_id),
+rw AS (SELECT pt.vec_id, y0, y1, raw / coalesce(spacing, 1) AS r FROM pt LEFT JOIN nb ON nb.vec_id = pt.vec_id)
+SELECT vec_id, round(r / sum(r) OVER (PARTITION BY y0, y1), 6) AS w FROM rw""")
+def f01_density_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = b.final_scores(records(spark, sf_dir)).filter("success").select(F.col("row_id").alias("rec_id"), "y0", "y1", "final_score", F.col("x1").alias("x"))
+    return b.weighted_points(stored(own, "points"), density_k=8).select(F.col("rec_id").alias("vec_id"), *r6("w"))
+
+
+_QUAD = {"coef": [0.5, 1.0, -2.0, 0.25, 0.5, -1.5], "mu": [0.1, -0.2], "sd": [0.5, 2.0]}
+
+
+@query(f"WITH {_BASE}, z2 AS (SELECT vec_id, (v[1] - 0.1) / 0.5 AS a, (v[2] + 0.2) / 2.0 AS b FROM e) SELECT vec_id, round(0.5 + a - 2 * b + 0.25 * a * a + 0.5 * a * b - 1.5 * b * b, 6) AS value FROM z2")
+def f06_surface_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import surfaces
+
+    model = _QUAD | {"terms": surfaces.monomials(2, 2)}
+    return rows(spark, sf_dir).select(F.col("row_id").alias("vec_id"), F.round(surfaces.surface_value("features", model), 6).alias("value"))
+
+
+@query()
+def f08_separating_quadrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import surfaces
+
+    return surfaces.surfaces(points(spark, sf_dir).select("y0", "y1", "x", "x0", "w"), 2, "logistic")

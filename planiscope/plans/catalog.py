@@ -26,4 +26,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["h16_top_per_class"](spark, sf_dir)
 
 
-from . import boundary_queries, feature_queries, plane_queries, report_queries, rule_queries  # noqa: E402, F401
+from . import boundary_queries, feature_queries, generator_queries, plane_queries, report_queries, rule_queries  # noqa: E402, F401

@@ -104,33 +104,44 @@ def s07_mixed_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", *r6("p_retailprice_std"), "p_retailprice_high", "p_retailprice_q")
 
 
-@query("WITH g AS (SELECT n, f FROM (VALUES (30), (2000), (200000), (500000), (10000000)) a(n), (VALUES (3), (8), (48), (64)) b(f)), s AS (SELECT n, f, greatest(500, least(n, CAST(ceil(pow(n, 0.6) * pow(greatest(1, f) / 8.0, 0.3)) AS BIGINT))) AS s FROM g) SELECT n, f, CASE WHEN 0.001 * n * f <= 3 * s AND 3 * s <= 0.05 * n * f THEN 3 * s ELSE s END AS size FROM s")
+_SIZED = ("region", "nation", "supplier", "customer", "part", "orders", "lineitem", "embeddings")
+
+
+@query("WITH g AS (" + " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in _SIZED) + "), h AS (SELECT name, n, f FROM g, (VALUES (3), (8), (48), (64)) b(f)), s AS (SELECT *, greatest(500, least(n, CAST(ceil(pow(n, 0.6) * pow(greatest(1, f) / 8.0, 0.3)) AS BIGINT))) AS s FROM h) SELECT name, f, least(n, CASE WHEN 0.001 * n * f <= 3 * s AND 3 * s <= 0.05 * n * f THEN 3 * s ELSE s END) AS size FROM s")
 def s14_adaptive_sample_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(n, k, f.adaptive_sample_size(n, k)) for n in (30, 2000, 200_000, 500_000, 10_000_000) for k in (3, 8, 48, 64)]
-    return spark.createDataFrame(rows, "n int, f int, size long")
+    counts = [(t, table(spark, sf_dir, t).count()) for t in _SIZED]
+    return spark.createDataFrame([(t, k, f.adaptive_sample_size(n, k)) for t, n in counts for k in (3, 8, 48, 64)], "name string, f int, size long")
 
 
-@query("WITH c AS (SELECT count(*) AS n FROM orders), z AS (SELECT n, greatest(500, least(n, CAST(ceil(pow(n, 0.6) * pow(1.0, 0.3)) AS BIGINT))) AS s FROM c), k AS (SELECT CASE WHEN n <= 100 THEN n WHEN 0.001 * n * 8 <= 3 * s AND 3 * s <= 0.05 * n * 8 THEN 3 * s ELSE s END AS size FROM z) SELECT o_orderkey FROM orders QUALIFY row_number() OVER (ORDER BY md5('0:' || o_orderkey), o_orderkey) <= (SELECT size FROM k)")
-def s15_adaptive_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return f.adaptive_sample(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 8)
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS f, CASE WHEN o_orderstatus = 'O' THEN 1.0 ELSE 0.0 END AS o FROM orders")
+def k02_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = f.one_hot(table(spark, sf_dir, "orders"), "o_orderstatus", ["F", "O"])
+    return rows.select("o_orderkey", F.element_at("onehot", 1).alias("f"), F.element_at("onehot", 2).alias("o"))
 
 
-@query(f"WITH {SAMPLES_SQL}, a AS (SELECT avg(x0) AS m0, avg(x3) AS m3, stddev_pop(x0) AS s0, stddev_pop(x3) AS s3 FROM s WHERE x2 <= 0.05), b AS (SELECT avg(x0) AS m0, avg(x3) AS m3, stddev_pop(x0) AS s0, stddev_pop(x3) AS s3 FROM s) SELECT round((abs(a.m0 - b.m0) + abs(a.m3 - b.m3)) / 2, 6) AS mean_error, round((abs(a.s0 - b.s0) + abs(a.s3 - b.s3)) / 2, 6) AS std_error FROM a, b")
-def s17_representativeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = samples(spark, sf_dir)
-    return f.representativeness(s.filter("x2 <= 0.05"), s, ["x0", "x3"]).select(*r6("mean_error", "std_error"))
+@query()
+def x10_l1_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = samples(spark, sf_dir).withColumn("row_id", F.xxhash64(*FEATURES))
+    return spark.createDataFrame(f.l1_importance(rows, FEATURES, "y"), "feature string, importance double")
 
 
-_MI = """mi AS (SELECT 'x' || (row_number() OVER (ORDER BY f) - 1) AS feature, v AS mi FROM (VALUES (0, 0.4), (1, 0.36), (2, 0.2), (3, 0.19)) a(f, v))"""
+@query("SELECT a + 5 * b AS cell, round(-1 + a * 0.5, 6) AS x, round(b * 0.25, 6) AS y FROM (SELECT unnest(range(5)) AS a), (SELECT unnest(range(5)) AS b)")
+def p10_surface_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import reporting
 
+    rows = reporting.surface_grid(spark, [-1.0, 0.0], [1.0, 1.0], 5)
+    return rows.select("cell", F.round(F.element_at("x", 1), 6).alias("x"), F.round(F.element_at("x", 2), 6).alias("y"))
 
-def fixed_scores(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("x0", 0.4), ("x1", 0.36), ("x2", 0.2), ("x3", 0.19)], "feature string, mi double")
+
+@query("WITH c AS (SELECT count(*) AS n FROM orders), z AS (SELECT n, greatest(500, least(n, CAST(ceil(pow(n, 0.6) * pow(1.0, 0.3)) AS BIGINT))) AS s FROM c), k AS (SELECT CASE WHEN n <= 100 THEN n WHEN 0.001 * n * 8 <= 3 * s AND 3 * s <= 0.05 * n * 8 THEN least(n, 3 * s) ELSE least(n, s) END AS size FROM z) SELECT o_orderkey FROM orders QUALIFY row_number() OVER (ORDER BY md5('0:' || o_orderkey), o_orderkey) <= (SELECT size FROM k)")
+def s15_adaptive_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return f.adaptive_sample(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 8)
 
 
-@query(f"WITH {_MI}, w AS (SELECT feature AS a, mi AS ma, lead(feature) OVER (ORDER BY mi DESC, feature) AS b, lead(mi) OVER (ORDER BY mi DESC, feature) AS mb FROM mi) SELECT least(a, b) || ',' || greatest(a, b) AS features FROM w WHERE b IS NOT NULL AND (ma - mb) / ma <= 0.15")
-def g01_neighbour_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return f.neighbour_windows(fixed_scores(spark)).select(F.concat_ws(",", "features").alias("features"))
+@query(f"WITH {SAMPLES_SQL}, a AS (SELECT avg(x0) AS m0, avg(x3) AS m3, stddev_pop(x0) AS s0, stddev_pop(x3) AS s3 FROM s WHERE x2 <= 0.05), b AS (SELECT avg(x0) AS m0, avg(x3) AS m3, stddev_pop(x0) AS s0, stddev_pop(x3) AS s3 FROM s) SELECT round((abs(a.m0 - b.m0) + abs(a.m3 - b.m3)) / 2, 6) AS mean_error, round((abs(a.s0 - b.s0) + abs(a.s3 - b.s3)) / 2, 6) AS std_error FROM a, b")
+def s17_representativeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = samples(spark, sf_dir)
+    return f.representativeness(s.filter("x2 <= 0.05"), s, ["x0", "x3"]).select(*r6("mean_error", "std_error"))
 
 
 _CORR = " UNION ALL ".join(f"SELECT 'x{a}' AS a, 'x{b}' AS b, corr(x{a}, x{b}) AS corr FROM s" for a in range(4) for b in range(a + 1, 4))
@@ -141,37 +152,6 @@ def g03_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.correlations(samples(spark, sf_dir), FEATURES).select("a", "b", *r6("corr"))
 
 
-@query(f"""WITH {SAMPLES_SQL}, {_MI}, c AS ({_CORR}) SELECT p.feature || ',' || q.feature AS features, round(p.mi + q.mi - 0.22 * abs(c.corr) + 0.18 * least(p.mi, q.mi), 6) AS score FROM mi p JOIN mi q ON p.feature < q.feature JOIN c ON c.a = p.feature AND c.b = q.feature""")
-def g01b_guided_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = fixed_scores(spark)
-    sets = f.column_sets(scores, (2,))
-    return f.guided_sets(sets, scores, f.correlations(samples(spark, sf_dir), FEATURES)).select(F.concat_ws(",", "features").alias("features"), *r6("score"))
-
-
-_PROJ = [[0.02, 0.00001, 0, 0], [0.02, 0, 10, 0], [0, 0.00001, -10, 10]]
-
-
-@query(f"""WITH {SAMPLES_SQL}, z AS ({' UNION ALL '.join(f'SELECT {i} AS projection, y, {p[0]} * x0 + {p[1]:.5f} * x1 + {p[2]} * x2 + {p[3]} * x3 AS z FROM s' for i, p in enumerate(_PROJ))}), g AS (SELECT projection, y, avg(z) AS m, var_pop(z) AS v FROM z GROUP BY 1, 2)
-SELECT projection, round(var_pop(m) / (avg(v) + 1e-9), 6) AS fisher FROM g GROUP BY projection""")
-def g06_fisher_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return f.fisher_ratio(samples(spark, sf_dir), _PROJ, FEATURES, "y").select("projection", *r6("fisher"))
-
-
-@query(f"""WITH {SAMPLES_SQL}, c AS (SELECT y, CAST(floor(x0 / 13) AS INT) AS c0, CAST(floor(x1 / 26000) AS INT) AS c1, CAST(floor(x2 * 30) AS INT) AS c2 FROM s),
-h AS (SELECT 'c0,c1' AS features, y, xor((c0 + 1) * 3 % 257, (c1 + 1) * 5 % 257) AS h FROM c UNION ALL SELECT 'c0,c2', y, xor((c0 + 1) * 3 % 257, (c2 + 1) * 5 % 257) FROM c UNION ALL SELECT 'c1,c2', y, xor((c1 + 1) * 3 % 257, (c2 + 1) * 5 % 257) FROM c),
-n AS (SELECT features, y, h, count(*) AS n FROM h GROUP BY 1, 2, 3), t AS (SELECT features, y, max(n) / sum(n) AS share FROM n GROUP BY 1, 2)
-SELECT features, round(max(share), 6) AS share FROM t GROUP BY features HAVING max(share) >= 0.2""")
-def g09_count_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = samples(spark, sf_dir).select("y", F.floor(F.col("x0") / 13).cast("int").alias("c0"), F.floor(F.col("x1") / 26000).cast("int").alias("c1"), F.floor(F.col("x2") * 30).cast("int").alias("c2"))
-    return f.count_sketch(c, [["c0", "c1"], ["c0", "c2"], ["c1", "c2"]], "y", least=0.2).select(F.concat_ws(",", "features").alias("features"), *r6("share"))
-
-
-@query(f"WITH {_MI}, p AS (SELECT p.feature || ',' || q.feature AS features, (p.mi + q.mi) / sqrt(2) AS s, (p.mi + q.mi) / 2 AS m FROM mi p JOIN mi q ON p.feature < q.feature UNION ALL SELECT p.feature || ',' || q.feature || ',' || r.feature, (p.mi + q.mi + r.mi) / sqrt(3), (p.mi + q.mi + r.mi) / 3 FROM mi p JOIN mi q ON p.feature < q.feature JOIN mi r ON q.feature < r.feature) SELECT features, round(s, 6) AS proxy, round(m, 6) AS mean_mi FROM p")
-def e02_proxy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = fixed_scores(spark)
-    return f.proxy_scores(f.column_sets(scores), scores).select(F.concat_ws(",", "features").alias("features"), *r6("proxy", "mean_mi"))
-
-
 @query("""WITH r AS (SELECT p_partkey AS id, p_size % 4 + 1 AS size, p_retailprice AS score FROM part), t AS (SELECT *, row_number() OVER (PARTITION BY size ORDER BY score DESC, id) AS turn, max(score) OVER (PARTITION BY size) AS best FROM r)
 SELECT id, size, score, row_number() OVER (ORDER BY turn, best DESC, size) AS place FROM t QUALIFY place <= 12""")
 def e05_diverse_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,22 +159,6 @@ def e05_diverse_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.diverse_pick(rows, 12)
 
 
-@query()
-def e04_cross_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators import evaluation
-
-    key = F.xxhash64(*FEATURES)
-    part = f.adaptive_sample(samples(spark, sf_dir).withColumn("row_id", key), "row_id", len(FEATURES))
-    return evaluation.cross_validated(part, [["x0", "x1"], ["x1", "x2"], ["x0", "x2", "x3"]])
-
-
-@query()
-def e07_explore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators import evaluation
-
-    return evaluation.explore(samples(spark, sf_dir).withColumn("row_id", F.xxhash64(*FEATURES)), FEATURES, keep=5)
-
-
 @query()
 def s01_corner_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources import generators
@@ -216,35 +180,6 @@ def s08_passengers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.passengers(spark)
 
 
-_CHI = "(VALUES ('a', 9.0, 0.3, 4), ('b', 7.0, 0.1, 9), ('c', 5.0, 0.2, 2), ('d', 1.0, 0.4, 3)) t(feature, chi2, mi, \"distinct\")"
-
-
-def fixed_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("a", 9.0, 0.3, 4), ("b", 7.0, 0.1, 9), ("c", 5.0, 0.2, 2), ("d", 1.0, 0.4, 3)], "feature string, chi2 double, mi double, distinct int")
-
-
-@query(f"WITH p AS (SELECT * FROM {_CHI} QUALIFY row_number() OVER (ORDER BY chi2 DESC, feature) <= 3) SELECT a.feature || ',' || b.feature AS features FROM p a JOIN p b ON a.feature < b.feature UNION ALL SELECT a.feature || ',' || b.feature || ',' || c.feature FROM p a JOIN p b ON a.feature < b.feature JOIN p c ON b.feature < c.feature")
-def g02_chi2_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators import candidates
-
-    return candidates.chi2_sets(fixed_table(spark), k=3).select(F.concat_ws(",", "features").alias("features"))
-
-
-@query(f"WITH p AS (SELECT * FROM {_CHI}), s AS (SELECT a.feature || ',' || b.feature AS features, a.chi2 + b.chi2 + 0.45 * (a.mi + b.mi) + 0.12 * (ln(1 + a.\"distinct\") + ln(1 + b.\"distinct\")) AS score FROM p a JOIN p b ON a.feature < b.feature) SELECT features FROM s QUALIFY row_number() OVER (ORDER BY round(score, 9) DESC, features) <= 4")
-def g02b_chi2_guided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators import candidates
-
-    return candidates.chi2_guided(fixed_table(spark), (2,), keep=4).select(F.concat_ws(",", "features").alias("features"))
-
-
-@query(f"WITH {SAMPLES_SQL}, k AS (SELECT *, x0 / 50 AS u, x0 / 50 + x2 AS v FROM s), c AS (SELECT 'u' AS a, 'v' AS b, corr(u, v) AS r FROM k UNION ALL SELECT 'u', 'x3', corr(u, x3) FROM k UNION ALL SELECT 'v', 'x3', corr(v, x3) FROM k) SELECT a || ',' || b AS features FROM c WHERE abs(r) >= 0.55")
-def g03_correlated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators import candidates
-
-    rows = samples(spark, sf_dir).select((F.col("x0") / 50).alias("u"), (F.col("x0") / 50 + F.col("x2")).alias("v"), "x3")
-    return candidates.correlated_pairs(f.correlations(rows, ["u", "v", "x3"])).select(F.concat_ws(",", "features").alias("features"))
-
-
 @query(f"WITH {SAMPLES_SQL}, m AS (SELECT avg(x0) AS a, stddev_pop(x0) AS b, avg(x1) AS c, stddev_pop(x1) AS d FROM s) SELECT 'x0' AS a, 'x0' AS b, round(sum(CASE WHEN y = 1 THEN 1 ELSE 0.5 END * pow((x0 - m.a) / m.b, 2)), 3) AS g FROM s, m UNION ALL SELECT 'x0', 'x1', round(sum(CASE WHEN y = 1 THEN 1 ELSE 0.5 END * (x0 - m.a) / m.b * (x1 - m.c) / m.d), 3) FROM s, m UNION ALL SELECT 'x1', 'x1', round(sum(CASE WHEN y = 1 THEN 1 ELSE 0.5 END * pow((x1 - m.c) / m.d, 2)), 3) FROM s, m")
 def g10_weighted_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import candidates
@@ -252,54 +187,3 @@ def g10_weighted_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.weighted_gram(samples(spark, sf_dir), ["x0", "x1"], F.when(F.col("y") == 1, 1.0).otherwise(0.5)).select("a", "b", F.round("g", 3).alias("g"))
 
 
-@query()
-def g04_forest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators import candidates
-
-    part = f.adaptive_sample(samples(spark, sf_dir).withColumn("row_id", F.xxhash64(*FEATURES)), "row_id", 4)
-    return candidates.forest_paths(part, FEATURES, trees=8, depth=3)
-
-
-@query()
-def g05_leverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators import candidates
-
-    return spark.createDataFrame(candidates.leverage(samples(spark, sf_dir), FEATURES, 2), "feature string, leverage double")
-
-
-@query()
-def g11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators import candidates
-
-    rows = samples(spark, sf_dir).withColumn("row_id", F.xxhash64(*FEATURES))
-    return candidates.minhash_sets(rows, {"x0_high": F.col("x0") > 20, "x0_higher": F.col("x0") > 21, "x2_high": F.col("x2") > 0.05}, band=2)
-
-
-_ASM = "c(m, f) AS (SELECT * FROM (VALUES ('one', 'a,b'), ('one', 'a,c'), ('two', 'a,b'), ('three', 'b,c'), ('three', 'a,b')))"
-
-
-def fixed_sets(spark: SparkSession) -> DataFrame:
-    from ..operators import candidates
-
-    rows = {"one": [["a", "b"], ["a", "c"]], "two": [["a", "b"]], "three": [["b", "c"], ["a", "b"]]}
-    return candidates.assembled({k: spark.createDataFrame([(s,) for s in v], "features array<string>") for k, v in rows.items()})
-
-
-@query(f"WITH {_ASM} SELECT f AS features, string_agg(m, ',' ORDER BY m) AS methods, count(*) AS n_methods FROM c GROUP BY f")
-def e01_assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixed_sets(spark).select(F.concat_ws(",", "features").alias("features"), F.concat_ws(",", "methods").alias("methods"), "n_methods")
-
-
-@query(f"WITH {_ASM} SELECT m AS method, count(*) AS candidates, count(*) FILTER (WHERE f IN ('a,b', 'b,c')) AS top_hits FROM c GROUP BY m")
-def e06_annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators import candidates
-
-    reports = spark.createDataFrame([(["a", "b"], 0.9), (["b", "c"], 0.8), (["a", "c"], 0.1)], "features array<string>, score double")
-    return candidates.annotated(fixed_sets(spark), reports, 2)
-
-
-@query(f"WITH {_ASM} SELECT f AS features, " + ", ".join(f"CASE WHEN count(*) FILTER (WHERE m = '{m}') > 0 THEN 'yes' ELSE 'no' END AS {m}" for m in ("one", "two", "three")) + " FROM c GROUP BY f")
-def k16_method_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators import candidates
-
-    return candidates.method_matrix(fixed_sets(spark), ["one", "two", "three"])

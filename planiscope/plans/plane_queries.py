@@ -9,6 +9,7 @@ from ..functions import geometry as g
 from ..operators import cells as cell_ops
 from ..operators import planes as p
 from ..operators import selection
+from ..storage import stored
 from .catalog import query
 from .inputs import FEATURES, PAIRS, SAMPLES_SQL, r6, samples, table
 
@@ -44,13 +45,16 @@ def bank(spark: SparkSession, sf_dir: str):
 
 def scored(spark: SparkSession, sf_dir: str):
     s, hs = bank(spark, sf_dir)
-    cells = cell_ops.histogram(s, [h.column(FEATURES) for h in hs]).cache()
+    cells = stored(cell_ops.histogram(s, [h.column(FEATURES) for h in hs]), "cells")  # one scan, then a few thousand rows
     return hs, cells, p.with_metrics(p.confusion(cells, len(hs)))
 
 
-@query(f"WITH {SAMPLES_SQL}, th AS ({_TH}) SELECT a.pa AS pair_a, a.pb AS pair_b, feature, q, t AS threshold FROM th, (SELECT 0 AS pa, 1 AS pb UNION ALL SELECT 0, 2 UNION ALL SELECT 1, 2) a")
+_TH15 = " UNION ALL ".join(f"SELECT {f} AS feature, {q} AS q, round(quantile_cont(x{f}, {0.2 + 0.6 * q / 14!r}), 6) AS t FROM s" for f in range(4) for q in range(15))
+
+
+@query(f"WITH {SAMPLES_SQL}, th AS ({_TH15}) SELECT a.pa AS pair_a, a.pb AS pair_b, feature, q, t AS threshold FROM th, (SELECT 0 AS pa, 1 AS pb UNION ALL SELECT 0, 2 UNION ALL SELECT 1, 2) a")
 def s05_threshold_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.threshold_selection(samples(spark, sf_dir), FEATURES, PAIRS, STEPS)
+    return selection.threshold_selection(samples(spark, sf_dir), FEATURES, PAIRS)
 
 
 @query(f"""WITH {SAMPLES_SQL}, m AS (SELECT y, avg(x0) AS m0, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3 FROM s GROUP BY y),
@@ -195,9 +199,9 @@ def h15_best_class_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.guardrails(rows).join(best, ["hs_id", "y"], "left_semi").select("hs_id", "y", *r6("score"))
 
 
-@query(CHAIN + "SELECT y, rank, hs_id, round(score, 6) AS score, round(lift, 6) AS lift, round(f1, 6) AS f1 FROM top WHERE rank <= 10")
+@query(CHAIN + "SELECT y, rank, hs_id, round(score, 6) AS score, round(lift, 6) AS lift, round(f1, 6) AS f1 FROM top WHERE rank <= 200")
 def h16_top_per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = p.top_per_class(p.guardrails(scored(spark, sf_dir)[2]), 10)
+    rows = p.top_per_class(p.guardrails(scored(spark, sf_dir)[2]))
     return rows.select("y", "rank", "hs_id", *r6("score", "lift", "f1"))
 
 
@@ -280,11 +284,16 @@ def h26_prune_and_orient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.prune_and_orient(s, hs, FEATURES, tau=0.015).select("hs_id", "family", "target_class", *r6("score"))
 
 
-@query(CHAIN + "SELECT hs_id, y, round(score, 6) AS score FROM guard")
+_KEYED = SAMPLES_SQL.replace("ELSE 0 END AS y FROM", "ELSE 0 END AS y, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS rid FROM")
+_PART = CHAIN.replace(SAMPLES_SQL, _KEYED.replace("s AS", "whole AS", 1) + ", s AS (SELECT * FROM whole WHERE ('0x' || substr(md5(rid), 1, 8))::BIGINT < 429496729)").replace(_TH, _TH.replace("FROM s", "FROM whole"))
+_FULL = CHAIN.replace(SAMPLES_SQL, _KEYED)
+
+
+@query(f"SELECT hs_id, y, round(score, 6) AS score FROM ({_FULL} SELECT hs_id, y, score FROM guard) WHERE hs_id IN ({_PART} SELECT hs_id FROM guard)")
 def h13_sketch_then_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, hs = bank(spark, sf_dir)
-    keyed = s.withColumn("row_id", F.xxhash64(*FEATURES))
-    return p.sketched(keyed, hs, FEATURES, "row_id", share=1.0).select("hs_id", "y", *r6("score"))
+    rid = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("rid")
+    return p.sketched(samples(spark, sf_dir, rid), hs, FEATURES, "rid").select("hs_id", "y", *r6("score"))
 
 
 @query()

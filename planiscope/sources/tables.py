@@ -50,3 +50,22 @@ def stage_timings(spark: SparkSession, rows: list[dict], path: str) -> None:
     keys = list(dict.fromkeys(k for r in rows for k in r))
     text = lambda v: None if v is None else f"{v:.6f}" if isinstance(v, float) else str(v)
     write_csv(spark.createDataFrame([tuple(text(r.get(k)) for k in keys) for r in rows], ", ".join(f"`{k}` string" for k in keys)).coalesce(1), path)
+
+
+def experiment_sink(folder: str, **tables: DataFrame) -> list[str]:
+    """Write an experiment's tables (summary, planes, dims, runs, rules and so on) as one CSV folder each; arrays and
+    structs become JSON. Returns the folders in the order given."""
+    from pyspark.sql import types as T
+
+    out = []
+    for name, df in tables.items():
+        columns = [F.to_json(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.ArrayType | T.StructType | T.MapType) else F.col(f.name) for f in df.schema]
+        path = f"{folder.rstrip('/')}/{name}.csv"
+        df.select(*columns).write.mode("overwrite").option("header", True).csv(path)
+        out.append(path)
+    return out
+
+
+def dim_distribution(rules: DataFrame) -> DataFrame:
+    """(num_dims, target, rules, best_f1): how rules spread over dimensionalities."""
+    return rules.groupBy("num_dims", "target").agg(F.count("*").alias("rules"), F.max("f1").alias("best_f1"))
