@@ -1,15 +1,17 @@
-"""Main text of web pages by differencing against the page of nearest URL.
-
-Pages are sorted by host and path over the cluster; each page is compared with the neighbour on its host whose path has
-more in common with its own. Text lines are aligned by longest common subsequence; what both pages share is the
-site's, not the article's, and goes. Two things hold a deletion back: lines of an element that says it is the article
-(article, main) go only if they are mostly links, and a neighbour that shares half of the page's text,
-lines weighed by their squared lengths, is taken for a copy of the article, not for a sibling, and is not compared. Elements that say they are something else (nav,
-footer, forms, adverts, comments and so on) never count.
+"""Main text of web pages by differencing against the pages of nearest URL.
+
+Pages are sorted by host and path over the cluster. A run of pages that are copies of each other (half of their text,
+lines weighed by their squared lengths, is shared) is compared as a whole with the page before it and the page after it
+on its host, so that copies get like texts. All text lines are aligned by longest common subsequence; what a page shares
+with the one of nearest URL is the site's, not the article's, and goes. Inside an element that says it is the article
+(article, main) one pair does not prove that: articles quote the same passages. There a line goes if both neighbours
+have it, or if it is mostly links and one has it. Of the lines that differencing leaves, those go that stand in elements
+that say they are something else: by tag, role, or a whole class name or id (nav, footer, form, "comments" and so on).
 """
 
 from __future__ import annotations
 
+import bisect
 import html as _html
 import json
 import re
@@ -27,6 +29,7 @@ from .common import partitions, stored
 # What elements and their names say.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 DROPPED = RAW | {"head", "nav", "footer", "aside", "form", "noscript", "template", "svg", "math", "button", "select", "dialog", "menu", "object", "canvas", "audio", "video", "map"}
+SILENT = RAW | {"head", "button", "noscript", "template", "svg", "math", "select", "object", "canvas", "audio", "video", "map"}
 CONTAINERS = {"article", "main"}
 BLOCKS = {
     *("address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form"),
@@ -51,6 +54,7 @@ class Line:
     text: str
     inside: bool  # of an element that says it is the article
     links: float  # share of its characters that are link text
+    other: bool = False  # in an element that says it is not the article
 
 
 @dataclass
@@ -71,13 +75,15 @@ class Page:
         return cls(page_id, url, host, path, [Line(*x) for x in json.loads(zstandard.decompress(packed))], packed)
 
     @property
-    def contained(self) -> bool:
-        return any(x.inside for x in self.lines)
+    def main(self) -> list[int]:
+        """The lines that no element rules out."""
+        contained = any(x.inside and not x.other for x in self.lines)
+        return [i for i, x in enumerate(self.lines) if not x.other and (x.inside or not contained)]
 
 
 def packed_lines(html: str | None) -> bytes:
     """The lines of a page, compressed: what is shuffled and stored instead of the page."""
-    rows = [(x.text, x.inside, x.links) for x in lines_of(html or "")]
+    rows = [(x.text, x.inside, x.links, x.other) for x in lines_of(html or "")]
     return zstandard.compress(json.dumps(rows, ensure_ascii=False).encode(), 3)
 
 
@@ -93,30 +99,30 @@ def _says_other(tag: str, attrs: str, inside: bool) -> bool:
             return True
         if name == "role" and value in ROLES:
             return True
-        if name in ("class", "id") and any(w in NAMES for w in re.split(r"[^a-z]+", value)) and tag not in CONTAINERS:
+        if name in ("class", "id") and any(w in NAMES for w in value.split()) and tag not in CONTAINERS:
             return True
     return False
 
 
 def lines_of(source: str) -> list[Line]:
-    """Text lines of a page in order, without those of elements that say they are not the article."""
+    """Text lines of a page in order, without those of elements that hold no text for readers (head, scripts, forms' fields)."""
     lines: list[Line] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool]] = []  # tag, dropped, container
-    dropped = inside = in_link = 0
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, dropped, container, silent
+    dropped = inside = in_link = silent = 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(_html.unescape("".join(parts)).split())
         if text:
-            lines.append(Line(text, inside > 0, min(1.0, linked / len(text))))
+            lines.append(Line(text, inside > 0, min(1.0, linked / len(text)), dropped > 0))
         parts.clear()
         linked = 0
 
     def take(text: str) -> None:
         nonlocal linked
-        if not dropped:
+        if not silent:
             parts.append(text)
             if in_link:
                 linked += len(" ".join(text.split()))
@@ -147,9 +153,10 @@ def lines_of(source: str) -> list[Line]:
                 in_link = 0
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    for _, d, c in stack[k:]:
+                    for _, d, c, q in stack[k:]:
                         dropped -= d
                         inside -= c
+                        silent -= q
                     del stack[k:]
                     break
             continue
@@ -169,16 +176,19 @@ def lines_of(source: str) -> list[Line]:
             if tag == "p":  # a paragraph ends where the next begins
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == "p":
-                        for _, d, c in stack[k:]:
+                        for _, d, c, q in stack[k:]:
                             dropped -= d
                             inside -= c
+                            silent -= q
                         del stack[k:]
                         break
                     if stack[k][0] != "span":
                         break
-            stack.append((tag, other, container))
+            quiet = tag in SILENT or (other and tag not in BLOCKS)  # within a line such text goes at once
+            stack.append((tag, other, container, quiet))
             dropped += other
             inside += container
+            silent += quiet
     flush()
     return lines
 
@@ -264,125 +274,183 @@ def _nearness(a: Page, b: Page) -> tuple[int, int]:
     return whole, chars
 
 
+def copies(a: Page, b: Page) -> bool:
+    """Whether half of the main text of either page, lines weighed by their squared lengths, is in common order in both."""
+    x, y = ([p.lines[i].text for i in p.main] for p in (a, b))
+    least = min(sum(len(t) ** 2 for t in x), sum(len(t) ** 2 for t in y))
+    return least > 0 and 2 * sum(len(x[i]) ** 2 for i in shared(x, y)) >= least
+
+
 def main_text(page: Page, before: Page | None, after: Page | None) -> str:
-    """Kept lines joined by two line feeds; before and after are the neighbours in the order of URLs."""
+    """Kept lines joined by two line feeds; before and after are the pages beside the page's run in the order of URLs."""
     near = [p for p in (before, after) if p is not None and p.host == page.host]
     near.sort(key=lambda p: _nearness(page, p), reverse=True)
-    own, contained = [x.text for x in page.lines], page.contained
-    main = [i for i, x in enumerate(page.lines) if x.inside or not contained]
-    gone: set[int] | None = None
-    for p in near:
-        same = shared(own, [x.text for x in p.lines])
-        weight = [sum(len(own[i]) ** 2 for i in main if (i in same) == both) for both in (True, False)]
-        if weight[0] < weight[1] or not main:
-            gone = same
-            break
+    own = [x.text for x in page.lines]
+    gone = [shared(own, [x.text for x in p.lines]) for p in near]
     keep = []
-    for i in main:
+    for i in page.main:
         x = page.lines[i]
         linky = x.links >= 0.5
-        if contained:
-            drop = gone is not None and i in gone and linky
+        if x.inside:
+            drop = len(gone) == 2 and i in gone[0] and i in gone[1] or linky and any(i in g for g in gone)
         else:
-            drop = i in gone if gone is not None else linky
+            drop = i in gone[0] if gone else linky
         if not drop:
             keep.append(x.text)
     return "\n\n".join(keep)
 
 
-_ROWS = "page_id long, url string, text string, n_chars long, lines binary, host string, path string, part int, place long"
+# --------------------------------------------------------------------------- runs of copies in the order of URLs
+
+
+#: Sampled pages for each splitter.
+SAMPLED = 10
+
+
+def _place(host: str, path: str, page_id: int | None, url: str | None) -> tuple:
+    """What pages are sorted by, nulls first, as the engine's own order of these columns."""
+    return (host, path, page_id is not None, page_id or 0, url is not None, url or "")
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _splitters(keys: DataFrame, parts: int) -> list[tuple]:
+    """Where to cut the order of URLs (host, path, page_id, url) into `parts`, by a sample that a hash draws: some SAMPLED
+    short rows for each part reach the driver. The pages themselves are not read for it."""
+    n = keys.count()
+    share = min(1.0, SAMPLED * parts / max(1, n))
+    drawn = keys.filter(F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30)) < int(share * (1 << 30))).collect()
+    order = sorted(_place(*r) for r in drawn)
+    return sorted({order[len(order) * k // parts] for k in range(1, parts)}) if order else []
+
+
+def _parse(batches: Iterator[pa.RecordBatch], splitters: list[tuple]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, 512):
             part = b.slice(at, 512)
-            lines = pa.array([packed_lines(x) for x in part.column(4).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*part.columns[:4], lines], names=["page_id", "url", "host", "path", "lines"])
+            *keys, html = (c.to_pylist() for c in part.columns)
+            lines = pa.array([packed_lines(x) for x in html], pa.binary())
+            shard = pa.array([bisect.bisect_right(splitters, _place(host, path, page_id, url)) for page_id, url, host, path in zip(*keys, strict=True)], pa.int32())
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], lines, shard], names=["page_id", "url", "host", "path", "lines", "shard"])
 
 
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages of a sorted partition with both neighbours at hand; those at its ends go on with their lines."""
-    part = TaskContext.get().partitionId()
-    window: list[Page] = []
-    place = 0
+#: Pages of one run that are held; of a longer run the pages wait in the shared folder for the page after it.
+HELD = 1000
 
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.string(), pa.int32(), pa.int64())
-        names = [x.split()[0] for x in _ROWS.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+_PAGE = [("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.binary())]
+_WALK = [("part", pa.int32()), ("run", pa.int32()), ("kind", pa.int8()), ("text", pa.string()), *_PAGE]
+_DONE, _WAITS, _BEFORE, _AFTER, _FIRST, _LAST = range(6)
 
-    def raw(p: Page, at: int) -> tuple:
-        return (p.page_id, p.url, None, None, p.packed, p.host, p.path, part, at)
 
-    def done(p: Page, before: Page, after: Page) -> tuple:
-        text = main_text(p, before, after)
-        return (p.page_id, p.url, text, len(text), None, None, None, part, -1)
+def _batch(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else ([],) * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
-    pages = 0
-    for b in batches:
-        rows = []
-        for page_id, url, host, path, lines in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            window.append(Page.unpacked(page_id, url, host, path, lines))
-            pages += 1
-            place += 1
-            if pages <= 2:  # the first, and the second as its neighbour
-                rows.append(raw(window[-1], place))
-            if len(window) == 3:
-                rows.append(done(window[1], window[0], window[2]))
-                window.pop(0)
-            if len(rows) >= 500:
-                yield batch(rows)
-                rows = []
-        if rows:
-            yield batch(rows)
-    tail = []
-    if pages > 2:
-        tail.append(raw(window[-1], place))
-        if pages > 3:
-            tail.append(raw(window[-2], place - 1))
-    if tail:
-        yield batch(tail)
-
-
-def _stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of the pages at the ends of partitions, from the sorted run of those pages and their inner neighbours."""
-    window: list[tuple[Page, int, int] | None] = [None]
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of the inner runs of a sorted partition; pages of its first and last run wait for the pages beyond its ends.
+
+    A page that a run is compared with is given as a row of its own (_BEFORE, _AFTER); _FIRST and _LAST are the
+    partition's first and last page.
+    """
+    part, run = TaskContext.get().partitionId(), 0
     out: list[tuple] = []
+    held: list[Page] = []
+    last: Page | None = None  # the page that was read before
+    before: Page | None = None  # the page before the run
+    waits = True
+
+    def row(kind: int, p: Page, text: str | None = None) -> tuple:
+        return (part, run, kind, text, p.page_id, p.url, p.host, p.path, None if kind == _DONE else p.packed)
+
+    def end(after: Page | None) -> None:
+        nonlocal held
+        if waits:
+            out.extend(row(_WAITS, p) for p in held)
+            out.extend(row(k, p) for k, p in ((_BEFORE, before), (_AFTER, after)) if p is not None)
+        else:
+            out.extend(row(_DONE, p, main_text(p, before, after)) for p in held)
+        held = []
+
+    for b in batches:
+        for fields in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            page = Page.unpacked(*fields)
+            if last is None:
+                out.append(row(_FIRST, page))
+            elif last.packed != page.packed and not (last.host == page.host and copies(last, page)) or last.host != page.host:
+                end(page)
+                before, run, waits = last, run + 1, False
+            held.append(page)
+            last = page
+            if len(held) >= HELD:  # the rest of the run waits with them
+                waits = True
+                out.extend(row(_WAITS, p) for p in held)
+                held = []
+            if len(out) >= 500:
+                yield _batch(out, _WALK)
+                out = []
+    if last is not None:
+        waits = True
+        end(None)
+        out.append(row(_LAST, last))
+    yield _batch(out, _WALK)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each boundary between partitions whether a run goes on over it, from the pages beside it, sorted by boundary."""
+    edge, last = None, None
+    for b in batches:
+        out = []
+        for at, *fields in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            page = Page.unpacked(*fields)
+            if at == edge:
+                out.append((at, last.host == page.host and (last.packed == page.packed or copies(last, page))))
+            edge, last = at, page
+        yield _batch(out, [("edge", pa.int32()), ("same", pa.bool_())])
+
+
+def _beyond(parts: list[tuple[int, int]], same: dict[int, bool]) -> list[tuple[int, int, int, int, int, int]]:
+    """Which page lies beyond the first and the last run of each partition: (part, run, kind) of the run and what it lacks,
+    and where that page is given. A run that goes on over a boundary is followed to where it ends.
 
-    def settle(trio: list[tuple[Page, int, int] | None]) -> None:
-        before, this, after = trio
-        p, part, at = this
-        first = before is None or before[1] != part
-        last = after is None or after[1] != part
-        if first or last:
-            text = main_text(p, before and before[0], after and after[0])
-            out.append((p.page_id, p.url, text, len(text)))
+    parts: every partition with rows and its last run's number; same: whether a run goes on after a partition.
+    """
+    out = []
+    for way, kind, edge_kind, inner_kind in ((1, _BEFORE, _LAST, _BEFORE), (-1, _AFTER, _FIRST, _AFTER)):
+        order = parts[::way]
+        found: tuple[int, int, int] | None = None
+        for k, (part, last) in enumerate(order):
+            own = (0 if way > 0 else last)  # the run that is seen first in this direction
+            far = last if way > 0 else 0
+            if k:
+                before, before_far = order[k - 1][0], order[k - 1][1] if way > 0 else 0
+                place = k - 1 if way > 0 else len(parts) - 1 - k
+                if not same.get(place, False):
+                    found = (before, before_far, edge_kind)
+                elif order[k - 1][1] > 0:
+                    found = (before, before_far, inner_kind)
+                if found:
+                    out.append((part, own, kind, *found))
+            if far != own:
+                found = None
+    return out
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "url", "text", "n_chars"])
-            out.clear()
 
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of waiting pages, with the pages before and after their run in the same row."""
     for b in batches:
-        for page_id, url, lines, host, path, part, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            window.append((Page.unpacked(page_id, url, host, path, lines), part, at))
-            if len(window) == 3:
-                settle(window)
-                window.pop(0)
-        yield from flush()
-    if len(window) == 2:
-        settle([*window, None])
-    yield from flush()
+        rows = []
+        for page_id, url, host, path, lines, before, after in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            page = Page.unpacked(page_id, url, host, path, lines)
+            beside = [Page.unpacked(None, None, x["host"], x["path"], x["lines"]) if x else None for x in (before, after)]
+            rows.append((page_id, url, main_text(page, *beside)))
+        yield _batch(rows, [("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every row: its main text, empty if there is none.
 
     Null html is empty. Rows without a URL, or whose URL has no host, are compared among themselves as one host.
-    Repeated rows are copies of each other and so not compared; they get equal texts unless their other neighbours
-    differ. Ties in nearness go to the page that sorts first. An empty table gives none; other columns are left out.
-    A page is held in memory whole, with two neighbours.
+    Repeated rows are copies of each other and get equal texts. Ties in nearness go to the page that sorts first. An
+    empty table gives none; other columns are left out. A page is held in memory whole, with two neighbours.
     """
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
     rows = pages.select(
@@ -391,11 +459,30 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)).alias("host"),
         F.regexp_replace(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1), r"(\.html?|/)$", "").alias("path"),
         F.col(html_col).cast("string").alias("html"),
-    ).mapInArrow(_parse, "page_id long, url string, host string, path string, lines binary")
+    )
+    spark, parts = pages.sparkSession, partitions(pages)
+    sent = spark.sparkContext.broadcast(_splitters(rows.select("host", "path", "page_id", "url"), parts))
     order = ["host", "path", "page_id", "url"]
-    sorted_rows = rows.repartitionByRange(partitions(pages), *order).sortWithinPartitions(*order)
-    found = stored(sorted_rows.mapInArrow(_walk, _ROWS), "pages")
-    ends = found.filter("lines is not null").select("page_id", "url", "lines", "host", "path", "part", "place")
-    # some four pages per partition, whatever the input
-    rest = ends.coalesce(1).sortWithinPartitions("part", "place").mapInArrow(_stitch, "page_id long, url string, text string, n_chars long")
-    return found.filter("lines is null").select("page_id", "url", "text", "n_chars").unionByName(rest)
+    page = "page_id long, url string, host string, path string, lines binary"
+    walk = f"part int, run int, kind byte, text string, {page}"
+    dealt = rows.mapInArrow(lambda it: _parse(it, sent.value), f"{page}, shard int").repartitionById(parts, F.col("shard")).drop("shard")
+    found = stored(dealt.sortWithinPartitions(*order).mapInArrow(_walk, walk), "pages")
+    sent.destroy()
+    # a number or two for each partition: the runs' pages stay where they are
+    columns = ["page_id", "url", "host", "path", "lines"]
+    parts = sorted((r["part"], r["run"]) for r in found.filter(F.col("kind") == _LAST).select("part", "run").collect())
+    places = spark.createDataFrame([(p, k) for k, (p, _) in enumerate(parts)], "part int, place int")
+    edge = F.when(F.col("kind") == _LAST, F.col("place")).otherwise(F.col("place") - 1)
+    ends = found.filter(F.col("kind").isin(_FIRST, _LAST)).join(places, "part").select(edge.alias("edge"), "part", "kind", *columns)
+    dealt = ends.repartition(partitions(pages), "edge").sortWithinPartitions("edge", "part", "kind")
+    same = {r["edge"]: r["same"] for r in dealt.select("edge", *columns).mapInArrow(_meet, "edge int, same boolean").collect()}
+    lacking = spark.createDataFrame(_beyond(parts, same), "part int, run int, kind int, from_part int, from_run int, from_kind int")
+    given = found.filter(F.col("kind").isin(_BEFORE, _AFTER, _FIRST, _LAST)).select(F.col("part").alias("from_part"), F.col("run").alias("from_run"), F.col("kind").cast("int").alias("from_kind"), *columns)
+    beyond = lacking.join(given, ["from_part", "from_run", "from_kind"]).select("part", "run", "kind", *columns)
+    known = found.filter(F.col("kind").isin(_BEFORE, _AFTER)).select("part", "run", F.col("kind").cast("int").alias("kind"), *columns).unionByName(beyond)
+    beside = F.struct("host", "path", "lines")
+    known = known.groupBy("part", "run").agg(*[F.first(F.when(F.col("kind") == k, beside), ignorenulls=True).alias(n) for k, n in ((_BEFORE, "before"), (_AFTER, "after"))])
+    known = stored(known, "neighbours")
+    waits = found.filter(F.col("kind") == _WAITS).select("part", "run", *columns)
+    rest = waits.join(known, ["part", "run"], "left").select(*columns, "before", "after").mapInArrow(_settle, "page_id long, url string, text string")
+    return found.filter(F.col("kind") == _DONE).select("page_id", "url", "text").unionByName(rest).withColumn("n_chars", F.char_length("text").cast("long"))
