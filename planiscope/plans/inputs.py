@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.quantiles import spread
-
 FEATURES = ["x0", "x1", "x2", "x3"]
 CLASSES = [0, 1, 2]
 PAIRS = [(0, 1), (0, 2), (1, 2)]
@@ -23,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def samples(spark: SparkSession, sf_dir: str, *more) -> DataFrame:
     """(x0..x3, y): quantity, price, discount and tax; class 1 is a conjunction of two cuts, class 2 one cut. And `more`."""
     y = F.when((F.col("l_extendedprice") > 60000) & (F.col("l_discount") < 0.05), 1).when(F.col("l_quantity") <= 15, 2).otherwise(0)
-    return spread(table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("x0"), F.col("l_extendedprice").alias("x1"), F.col("l_discount").alias("x2"), F.col("l_tax").alias("x3"), y.alias("y"), *more))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("x0"), F.col("l_extendedprice").alias("x1"), F.col("l_discount").alias("x2"), F.col("l_tax").alias("x3"), y.alias("y"), *more)
 
 
 def r6(*names: str):

@@ -206,13 +206,13 @@ def r17_final_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(RCHAIN + """, ez AS (SELECT a.target, a.rule_key, hs.feature, max(CASE WHEN hs.side < 0 THEN threshold END) AS low, min(CASE WHEN hs.side > 0 THEN threshold END) AS up FROM acc a, unnest(a.ks) u(k) JOIN hs ON hs.hs_id = u.k
   WHERE (SELECT sum(c) FROM inside i WHERE i.hs_id = u.k) < (SELECT count(*) FROM s) GROUP BY 1, 2, 3)
-SELECT target, rule_key, string_agg(CASE WHEN low IS NULL THEN 'x' || feature || ' ≤ ' || printf('%.2f', up) WHEN up IS NULL THEN 'x' || feature || ' ≥ ' || printf('%.2f', low) ELSE printf('%.2f', low) || ' ≤ x' || feature || ' ≤ ' || printf('%.2f', up) END, '  AND  ' ORDER BY feature) AS rule_text FROM ez GROUP BY target, rule_key""")
+SELECT target, rule_key, string_agg(CASE WHEN low IS NULL THEN 'x' || feature || ' ≤ ' || printf('%.4f', up) WHEN up IS NULL THEN 'x' || feature || ' ≥ ' || printf('%.4f', low) ELSE printf('%.4f', low) || ' ≤ x' || feature || ' ≤ ' || printf('%.4f', up) END, '  AND  ' ORDER BY feature) AS rule_text FROM ez GROUP BY target, rule_key""")
 def r18_rule_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .plane_queries import bank
 
     rules, cells = accepted_of(spark, sf_dir)
     spaces = p.half_space_table(spark, bank(spark, sf_dir)[1]).select(F.col("hs_id").alias("k"), "feature", "side", "threshold")
-    return r.rule_text(rules, spaces, cells)
+    return r.rule_text(rules, spaces, cells, digits=4)
 
 
 @query(WCHAIN + """SELECT f.num_dims, f.target, f.kind, f.rule_key, CAST(f.size AS BIGINT) AS size, CAST(f.tp AS BIGINT) AS tp, f.is_floor, par.is_pareto, round(f.f1, 6) AS f1, pa.general AS parent, round(f.f1 - pa.f1, 6) AS d_f1,
