@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import functools
 import gc
-import re
-import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -16,22 +15,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir
+
 #: Word separators of every contract: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where none is set, a local session gets one of its own; a cluster an error."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        master = spark.conf.get("spark.master", "")
-        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="planiscope-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage ends there and any executor can reread it."""
     spark = df.sparkSession
@@ -51,12 +40,15 @@ def discard(*frames: DataFrame) -> None:
 
 
 def tidy(spark: SparkSession, now: bool = False) -> None:
-    """A collection, after which Spark drops shuffle files and broadcasts of finished steps: `now`, or once the driver's
-    heap has grown to half of its bound."""
+    """A collection, after which Spark drops shuffle files and broadcasts of finished steps: `now`, or once half of the
+    driver's heap is in use."""
     run = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
-    if now or 2 * run.totalMemory() > run.maxMemory():
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+    if now or 2 * (run.totalMemory() - run.freeMemory()) > run.maxMemory():
+        for _ in range(1 + now):
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+            if now:  # what has just ended is still on its way to the listeners, and so held
+                time.sleep(0.5)
 
 
 def partitions(df: DataFrame) -> int:

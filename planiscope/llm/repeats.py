@@ -84,7 +84,7 @@ class Level:
 
     @property
     def arrow(self) -> pa.Schema:
-        return pa.schema([("g", pa.int64()), *((k, pa.int64()) for k in self.keys), *self.rest, ("tag", pa.int8())])
+        return pa.schema([*((k, pa.int64()) for k in self.keys), *self.rest, ("tag", pa.int8())])
 
     @property
     def ddl(self) -> str:
@@ -111,27 +111,28 @@ class Level:
         new, group, order = _groups(keys)
         keys, rest, tag = [k[order] for k in keys], [r[order] for r in rest], tag[order]
         many = np.bincount(group, tag)[group] >= 2
-        marks = np.flatnonzero(new & many)
-        tag[many] = HIT
-        spread = mixed((rest[0].astype(np.int64) * 31 + rest[1]).view(np.uint64)).view(np.int64)  # settled rows go anywhere
-        g = np.where(many, spread, keys[0])
-        for at in range(0, len(tag), 1 << 16):
-            cut = slice(at, at + (1 << 16))
-            yield self._batch([g[cut], *(k[cut] for k in keys), *(r[cut] for r in rest), tag[cut]])
-        if len(marks):
-            yield self._batch([keys[0][marks], *(k[marks] for k in keys), *(r[marks] for r in rest), np.full(len(marks), MARK, np.int8)])
+        marks, left, hit = np.flatnonzero(new & many), np.flatnonzero(~many), np.flatnonzero(many)
+        # settled rows need no key: they stay together by document, which packs well, wherever that goes
+        hit = hit[np.lexsort((rest[1][hit], rest[0][hit]))]
+        away = mixed(rest[0][hit].astype(np.int64).view(np.uint64)).view(np.int64)
+        zeros = [np.zeros(len(hit), np.int64)] * (len(keys) - 1)
+        parts = [([away, *zeros], hit, np.full(len(hit), HIT, np.int8)), ([k[left] for k in keys], left, tag[left]), ([k[marks] for k in keys], marks, np.full(len(marks), MARK, np.int8))]
+        for own, rows, tags in parts:
+            for at in range(0, len(rows), 1 << 16):
+                cut = slice(at, at + (1 << 16))
+                yield self._batch([*(k[cut] for k in own), *(r[rows[cut]] for r in rest), tags[cut]])
 
     def _batch(self, columns: list[np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, self.arrow, strict=True)], schema=self.arrow)
 
     def deal(self, rows: DataFrame) -> DataFrame:
-        return rows.repartition(partitions(rows), "g").sortWithinPartitions(*self.keys)
+        return rows.repartition(partitions(rows), self.keys[0]).sortWithinPartitions(*self.keys)
 
     def settled(self, batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         """The rest of every row whose keys occur twice or more, from a partition sorted by keys."""
         n, carry = len(self.keys), None
         for batch in batches:
-            cols = [c.to_numpy() for c in batch.columns[1:]]
+            cols = [c.to_numpy() for c in batch.columns]
             hit = cols[-1] == HIT
             if hit.any():
                 yield [c[hit] for c in cols[n:-1]]
