@@ -24,7 +24,7 @@ from .common import by_shard, commit_file, shard_bounds, shared_dir, stored, wit
 
 #: Tokens of a packed row, and bytes of text in one packing window, which one task holds in memory as ids.
 ROW = 2048
-WINDOW = 1 << 24
+WINDOW = 1 << 23
 
 SCHEMA = "pack_id long, n_tokens int, n_segments int, ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, doc_offsets array<int>"
 _ARROW = pa.schema(
