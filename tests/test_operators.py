@@ -176,7 +176,7 @@ def test_methods_propose_sorted_sets_and_repeat_them(planted, name):
     if "correlated" in name:
         assert ("a", "c") in first and ("d", "e") not in first
     elif "minhash" in name:
-        assert not any({"d", "e"} <= set(s) for s in first)
+        assert ("a", "c") in first  # masks of unrelated columns share a band now and then, those of a and c nearly always
     else:
         assert first
 
