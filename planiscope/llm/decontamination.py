@@ -2,8 +2,8 @@
 
 Documents are read in overlapping passages of words; passages and benchmark items are TF-IDF vectors over hashed terms,
 with document frequencies over all documents. A randomised SVD, whose products run on the executors, gives the latent
-directions of a bounded sample of passages; all passages are projected onto them, centred and scaled to equal variance
-per direction, and compared with all items by cosine. Candidates are then read word by word: longest common subsequence
+directions of all passages; these are projected onto them, centred and scaled to equal variance per direction, and
+compared with all items by cosine. Candidates are then read word by word: longest common subsequence
 with the item, and for paraphrases a check that the item's answer, its last sentence, is there too.
 """
 
@@ -23,7 +23,8 @@ from .common import discard, prefix_hash, span_hash, stored, text_slices, window
 @dataclass(frozen=True)
 class Settings:
     """size: hashed terms. rank, extra, rounds: directions, oversampling and power iterations of the SVD.
-    sample_docs: documents that the SVD is fitted on, some of them by a hash of the id. step: words of half a passage.
+    sample_docs: None, and the SVD is fitted on all documents; a caller may ask for some so many, by a hash of the id.
+    step: words of half a passage.
     near: share of the cosine expected of a passage that holds an item, from which it is a candidate; low enough that
     paraphrases at `same` or `alike` get to the word-by-word reading, which alone decides. rare: share of an item's
     rarer words, by their bits in a small map, that a candidate passage must hold. same: share of an
@@ -36,7 +37,7 @@ class Settings:
     rank: int = 64
     extra: int = 16
     rounds: int = 2
-    sample_docs: int = 4000
+    sample_docs: int | None = None
     step: int = 24
     near: float = 0.25
     rare: float = 0.35
@@ -81,86 +82,133 @@ def _once(terms: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.
     return key & (size - 1), np.searchsorted(key, np.arange(len(at)) * size)
 
 
+def _runs(terms: np.ndarray, at: np.ndarray, step: int, size: int) -> np.ndarray:
+    """Terms of every run in a row, each once; places left over hold `size`."""
+    place = np.arange(step)
+    sizes = np.diff(np.append(at, len(terms)))
+    rows = np.append(terms, size).astype(np.uint16 if size < 1 << 16 else np.uint32)[np.minimum(at[:, None] + place, len(terms))]
+    rows[place >= sizes[:, None]] = size
+    rows.sort(axis=1)
+    again = rows[:, 1:] == rows[:, :-1]
+    rows[:, 1:][again] = size
+    return rows
+
+
+def _summed(rows: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Sums of the rows that each row of `index` names, a thousand at a time, so that they stay in the cache."""
+    out = np.empty((len(index), rows.shape[1]), rows.dtype)
+    for lo in range(0, len(index), 1024):
+        part = np.ascontiguousarray(index[lo : lo + 1024].T).astype(np.intp)
+        own = out[lo : lo + 1024]
+        more = np.empty_like(own)
+        np.take(rows, part[0], axis=0, out=own, mode="clip")
+        for p in part[1:]:
+            own += np.take(rows, p, axis=0, out=more, mode="clip")
+    return out
+
+
+def _segment_sums(rows: np.ndarray, order: np.ndarray, counts: np.ndarray, width: int = 8) -> np.ndarray:
+    """Sums of rows[order] over consecutive segments of the given sizes, one or more rows each: `width` at a time."""
+    while True:
+        blocks = -(-counts // width)
+        index = np.full(int(blocks.sum()) * width, len(rows))
+        shift = (np.cumsum(blocks) - blocks) * width - (np.cumsum(counts) - counts)
+        index[np.arange(len(order)) + np.repeat(shift, counts)] = order
+        rows = _summed(np.vstack([rows, np.zeros((1, rows.shape[1]), rows.dtype)]), index.reshape(-1, width))
+        if len(rows) == len(counts):
+            return rows
+        order, counts = np.arange(len(rows)), blocks
+
+
 def _passages(terms: np.ndarray, doc: np.ndarray, docs: int, step: int, weights: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sums of the terms' weight rows over every passage of two runs, its number of terms, first word and document."""
     at, owner, first = _blocks(doc, docs, step)
     if not len(at):
         return np.zeros((0, weights.shape[1]), np.float32), at, at, owner, first
-    terms, cut = _once(terms, at, len(weights))
-    sums = np.empty((len(at), weights.shape[1]), np.float32)
-    for lo in range(0, len(at), 4096):
-        hi = min(lo + 4096, len(at))
-        a, b = cut[lo], cut[hi] if hi < len(at) else len(terms)
-        np.add.reduceat(weights[terms[a:b]], cut[lo:hi] - a, axis=0, out=sums[lo:hi])
-    count = np.diff(np.append(cut, len(terms)))
-    both, counts = sums.copy(), count.copy()
+    runs = _runs(terms, at, step, len(weights))
+    both = _summed(np.vstack([weights, np.zeros((1, weights.shape[1]), weights.dtype)]), runs)
+    counts = (runs < len(weights)).sum(axis=1)
     follows = owner[1:] == owner[:-1]
-    both[:-1][follows] += sums[1:][follows]
-    counts[:-1][follows] += count[1:][follows]
+    both[:-1][follows] += both[1:][follows]
+    counts[:-1][follows] += counts[1:][follows]
     # a document's last run is a passage only if it is the only one: the one before holds it
     keep = np.ones(len(at), bool)
     keep[1:] = ~(follows & np.append(~follows[1:], True))
     return both[keep], counts[keep], at[keep], owner[keep], first
 
 
-def document_frequencies(docs: DataFrame, cfg: Settings) -> np.ndarray:
-    """Documents that hold each hashed term, over all documents (uid, text)."""
+def run_terms(docs: DataFrame, cfg: Settings) -> DataFrame:
+    """(runs, follows) of all documents (uid, text): terms of some runs of words (see _runs), and whether the next run is
+    of the same document. A document's runs are in one row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cfg.size, np.int64)
         for batch in batches:
             for lo, hi, buf, offs in text_slices(batch, "text"):
                 words, doc = _words(buf, offs)
-                for a in range(0, hi - lo, 512):
-                    i, j = np.searchsorted(doc, [a, a + 512])
-                    there = np.zeros((512, cfg.size), bool)
-                    there[doc[i:j] - a, (words[i:j] & np.uint64(cfg.size - 1)).astype(np.int64)] = True
-                    total += there.sum(axis=0)
-        at = np.flatnonzero(total)
+                at, owner, _ = _blocks(doc, hi - lo, cfg.step)
+                if len(at):
+                    runs = _runs((words & np.uint64(cfg.size - 1)).astype(np.int64), at, cfg.step, cfg.size)
+                    follows = np.append(owner[1:] == owner[:-1], False)
+                    yield pa.RecordBatch.from_arrays([pa.array([runs.tobytes()], pa.binary()), pa.array([follows.tobytes()], pa.binary())], names=["runs", "follows"])
+
+    return docs.select("uid", "text").mapInArrow(rows, "runs binary, follows binary")
+
+
+def _read_runs(batches: Iterator[pa.RecordBatch], cfg: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for runs, follows in zip(*batch.columns, strict=True):
+            yield np.frombuffer(runs.as_buffer(), np.uint16 if cfg.size < 1 << 16 else np.uint32).reshape(-1, cfg.step), np.frombuffer(follows.as_buffer(), bool)
+
+
+def _frequencies(runs: DataFrame, cfg: Settings) -> np.ndarray:
+    """Documents that hold each hashed term, from the rows of `run_terms`."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(cfg.size + 1, np.int64)
+        for terms, follows in _read_runs(batches, cfg):
+            doc = np.cumsum(~follows) - ~follows
+            for a in range(0, int(doc[-1]) + 1, 128):
+                i, j = np.searchsorted(doc, [a, a + 128])
+                there = np.zeros((128, cfg.size + 1), np.uint8)
+                there[(doc[i:j] - a)[:, None], terms[i:j]] = 1
+                total += there.sum(axis=0, dtype=np.uint8)
+        at = np.flatnonzero(total[: cfg.size])
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["term", "n"])
 
     out = np.zeros(cfg.size, np.int64)
-    for r in docs.select("uid", "text").mapInArrow(rows, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for r in runs.mapInArrow(rows, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         out[r["term"]] = r["n"]
     return out
 
 
+def document_frequencies(docs: DataFrame, cfg: Settings) -> np.ndarray:
+    """Documents that hold each hashed term, over all documents (uid, text)."""
+    return _frequencies(run_terms(docs, cfg), cfg)
+
+
 #: Parts in which the executors add up a matrix of terms, so that no task sends the driver more than some 100 KB at a time.
 PARTS = 64
 
 
 def _product(batches: Iterator[pa.RecordBatch], cfg: Settings, idf: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Sums over passages a of (a' q), a, 1 and a's terms, in parts of the terms: what a power iteration needs of a partition."""
-    out, mean, n = np.zeros((cfg.size, q.shape[1])), np.zeros(cfg.size), 0
-    held = 0
-    wq = (idf[:, None] * q).astype(np.float32)
-    for batch in batches:
-        for lo, hi, buf, offs in text_slices(batch, "text"):
-            words, doc = _words(buf, offs)
-            terms = (words & np.uint64(cfg.size - 1)).astype(np.int64)
-            at, owner, _ = _blocks(doc, hi - lo, cfg.step)
-            if not len(at):
-                continue
-            terms, cuts = _once(terms, at, cfg.size)
-            run = np.repeat(np.arange(len(at)), np.diff(np.append(cuts, len(terms))))
-            pair_end = np.append(owner[1:] == owner[:-1], False)
-            weight = idf[terms]
-            mean += np.bincount(terms, weight * (1 + np.append(False, pair_end[:-1])[run]), cfg.size)
-            n += len(at)
-            held += int((1 + np.append(False, pair_end[:-1]))[run].sum())
-            sums = np.add.reduceat(wq[terms], cuts, axis=0)
-            z = sums.copy()  # of passage i: runs i and i + 1
-            z[:-1][pair_end[:-1]] += sums[1:][pair_end[:-1]]
-            back = z.copy()  # a run is in the passages that begin at it and before it
-            back[1:][pair_end[:-1]] += z[:-1][pair_end[:-1]]
-            order = np.argsort(terms, kind="stable")
-            t = terms[order]
-            cut = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-            gathered = np.add.reduceat(back[run[order]] * weight[order][:, None].astype(np.float32), cut, axis=0)
-            out[t[cut]] += gathered
+    out, times, n = np.zeros((cfg.size, q.shape[1])), np.zeros(cfg.size), 0
+    wq = np.vstack([idf[:, None] * q, np.zeros((1, q.shape[1]))]).astype(np.float32)
+    for terms, follows in _read_runs(batches, cfg):
+        z = _summed(wq, terms)  # of passage i: runs i and i + 1
+        z[:-1][follows[:-1]] += z[1:][follows[:-1]]
+        back = z.copy()  # a run is in the passages that begin at it and before it
+        back[1:][follows[:-1]] += z[:-1][follows[:-1]]
+        order = np.argsort(terms, axis=None, kind="stable")
+        order = order[: np.count_nonzero(terms < cfg.size)]
+        t, run = terms.ravel()[order], order // cfg.step
+        cut = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+        out[t[cut]] += _segment_sums(back, run, np.diff(np.append(cut, len(t))))
+        times += np.bincount(t, (1 + np.append(False, follows[:-1]))[run], cfg.size)
+        n += len(terms)
     if n:
-        ys, means = np.array_split(out, PARTS), np.array_split(mean, PARTS)
-        counts = [n] + [0] * (PARTS - 1), [held] + [0] * (PARTS - 1)
+        ys, means = np.array_split((idf[:, None] * out).astype(np.float32), PARTS), np.array_split(idf * times, PARTS)
+        counts = [n] + [0] * (PARTS - 1), [int(times.sum())] + [0] * (PARTS - 1)
         yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([y.tobytes() for y in ys], pa.binary()), pa.array([m.tobytes() for m in means], pa.binary()), *(pa.array(c, pa.int64()) for c in counts)], names=["k", "y", "mean", "n", "held"])
 
 
@@ -169,7 +217,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, list] = {}
     for b in batches:
         for k, y, mean, n, held in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            row = [np.frombuffer(y), np.frombuffer(mean), n, held]
+            row = [np.frombuffer(y, np.float32).astype(float), np.frombuffer(mean), n, held]
             sums[k] = [a + c for a, c in zip(sums[k], row, strict=True)] if k in sums else row
     for k, (y, mean, n, held) in sums.items():
         yield pa.RecordBatch.from_pylist([{"k": k, "y": y.tobytes(), "mean": mean.tobytes(), "n": n, "held": held}], pa.schema([("k", pa.int32()), ("y", pa.binary()), ("mean", pa.binary()), ("n", pa.int64()), ("held", pa.int64())]))
@@ -190,17 +238,20 @@ class Latent:
 
 
 def fit(docs: DataFrame, cfg: Settings = Settings()) -> Latent:
-    """Latent directions: document frequencies of all documents (uid, text), a randomised SVD on a bounded sample."""
-    df = document_frequencies(docs, cfg)
+    """Latent directions: document frequencies and a randomised SVD of all documents (uid, text)."""
+    runs = stored(run_terms(docs, cfg), "runs")
+    df = _frequencies(runs, cfg)
     n = docs.count()
     idf = np.log((1 + n) / (1 + df))
-    drawn = docs.filter(F.pmod(F.xxhash64("uid"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, cfg.sample_docs / max(1, n))))
-    sample = stored(drawn.select("uid", "text").repartition(6), "passages")
+    fitted = runs
+    if cfg.sample_docs is not None:
+        drawn = docs.filter(F.pmod(F.xxhash64("uid"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, cfg.sample_docs / max(1, n))))
+        fitted = run_terms(drawn, cfg)
     schema = "k int, y binary, mean binary, n long, held long"
 
     def product(q: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
         sent = docs.sparkSession.sparkContext.broadcast((idf, q))
-        partial = sample.mapInArrow(lambda it: _product(it, cfg, *sent.value), schema)
+        partial = fitted.mapInArrow(lambda it: _product(it, cfg, *sent.value), schema)
         rows = partial.repartition(PARTS, "k").mapInArrow(_added, schema).collect()
         sent.destroy()
         rows.sort(key=lambda r: r["k"])
@@ -221,7 +272,7 @@ def fit(docs: DataFrame, cfg: Settings = Settings()) -> Latent:
     best = np.argsort(values)[::-1][: cfg.rank]
     sd = np.sqrt(np.maximum(values[best], 1e-9) / max(1, count))
     directions = q @ turn[:, best] / sd
-    discard(sample)
+    discard(runs)
     return Latent((idf[:, None] * directions).astype(np.float32), (mean @ directions * count / max(1, held)).astype(np.float32), df <= 0.3 * n)
 
 
