@@ -3,7 +3,8 @@
 A first model tells the language family, a second step tells apart the languages within it: one linear support vector
 machine for each pair of the family's languages, decided by their votes. Families are a fixed table of ISO 639-1 codes;
 labels that it lacks form a family of their own. Features are hashed character n-grams of lowered words, so no
-vocabulary grows with the data and a text of any length becomes one vector of fixed size.
+vocabulary grows with the data and a text of any length becomes one vector of fixed size. All labelled rows are learned
+from: the executors add up losses and gradients over them, the driver takes the steps.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import mixed, stored
+from .common import discard, mixed, stored
 
 #: ISO 639-1 codes by family.
 FAMILIES = {
@@ -164,24 +165,109 @@ class Model:
         return list(out), score
 
 
-def fit(x: np.ndarray, labels: list[str]) -> Model:
-    langs = sorted(set(labels))
-    y = np.array(labels)
-    families = sorted({family_of(v) for v in langs})
-    own = np.array([family_of(v) for v in labels])
-    fw, fb = [], []
-    for name in families:
-        w, b = linear_svm(x, np.where(own == name, 1.0, -1.0)) if len(families) > 1 else (np.zeros(SIZE), 0.0)
-        fw.append(w)
-        fb.append(b)
-    within = {f: [v for v in langs if family_of(v) == f] for f in families}
-    pairs: dict[str, list[tuple[int, int, np.ndarray, float]]] = {f: [] for f in families}
-    for f, members in within.items():
-        for i in range(len(members)):
-            for j in range(i + 1, len(members)):
-                rows = (y == members[i]) | (y == members[j])
-                pairs[f].append((i, j, *linear_svm(x[rows], np.where(y[rows] == members[i], 1.0, -1.0))))
-    return Model(families, np.array(fw), np.array(fb), within, pairs)
+#: Width over which the hinge is rounded, so that it has a gradient everywhere.
+ROUNDED = 0.5
+#: Parts in which executors add up gradients. Steps that the driver remembers, and passes over the rows at most.
+PARTS, MEMORY, PASSES = 16, 6, 80
+#: Length of the gradient, as a share of the weights', at which a machine is done. The objective's curvature is one at
+#: least, so the weights are then within this share of the best ones.
+CLOSE = 0.03
+
+
+def machines(langs: list[str]) -> tuple[list[str], list[tuple[str, int, int]], np.ndarray]:
+    """Families, pairs of languages (family, places within it), and by language and machine the side: 1, -1, or 0 if the
+    machine does not see the language. The first machines tell a family from the rest, the others the pairs apart."""
+    own = [family_of(v) for v in langs]
+    families = sorted(set(own))
+    within = {f: [i for i, o in enumerate(own) if o == f] for f in families}
+    pairs = [(f, i, j) for f in families for i in range(len(within[f])) for j in range(i + 1, len(within[f]))]
+    side = np.zeros((len(langs), len(families) + len(pairs)))
+    if len(families) > 1:
+        for k, f in enumerate(families):
+            side[:, k] = [1 if o == f else -1 for o in own]
+    for k, (f, i, j) in enumerate(pairs, len(families)):
+        side[within[f][i], k], side[within[f][j], k] = 1, -1
+    return families, pairs, side
+
+
+def row_costs(side: np.ndarray, counts: np.ndarray, per_lang: int) -> np.ndarray:
+    """Cost of a row by language and machine: a language counts as `per_lang` rows, or as those it has if fewer, however
+    many share that; and a machine's two sides count alike."""
+    worth = np.minimum(counts, per_lang).astype(float)[:, None] * (side != 0)
+    out = np.zeros(side.shape)
+    for s in (1, -1):
+        here = worth * (side == s)
+        out += here * worth.sum(axis=0) / 2 / np.maximum(here.sum(axis=0), 1)
+    return out / np.maximum(counts, 1)[:, None]
+
+
+def losses(x: np.ndarray, lang: np.ndarray, side: np.ndarray, cost: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each machine's summed loss and its gradient (features and bias by machine) over rows with their languages' numbers."""
+    s, c = side[lang], cost[lang]
+    short = 1 - s * (x @ w[:-1] + w[-1])
+    bent = np.clip(short, 0, ROUNDED)
+    slope = (c * s * bent / ROUNDED).astype(np.float32)
+    return (c * bent * (short - bent / 2) / ROUNDED).sum(axis=0, dtype=float), -np.vstack([x.T @ slope, slope.sum(axis=0)]).astype(float)
+
+
+def curvature(sums: np.ndarray, squares: np.ndarray, counts: np.ndarray, cost: np.ndarray):
+    """A function that divides gradients (features and bias by machine) by a rough curvature of the objectives: of each
+    feature by its variance within the languages, and along the languages' means. sums, squares: features by language."""
+    mean = sums / counts
+    within = np.maximum(squares / counts - mean * mean, 0)
+    share = cost * counts[:, None]
+    parts = []
+    for c in share.T:
+        d, u = 1 + within @ c, mean * np.sqrt(c)
+        parts.append((d, u, np.linalg.inv(np.eye(len(c)) + u.T @ (u / d[:, None]))))
+
+    def divided(g: np.ndarray) -> np.ndarray:
+        out = np.empty_like(g)
+        for k, (d, u, core) in enumerate(parts):
+            v = g[:, k] / d
+            out[:, k] = v - u @ (core @ (u.T @ v)) / d
+        return out
+
+    return divided
+
+
+def minimised(value, w: np.ndarray, divided=lambda g: g) -> np.ndarray:
+    """Columns that each minimise their own |w|^2 / 2 + loss, where value(w) gives all columns' losses and gradients: by
+    limited-memory BFGS, one call a step; a column whose step does not lower its objective tries half of it. `divided`
+    gives the first step and the shape of those to come."""
+
+    def full(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        f, g = value(w)
+        return f + (w * w).sum(axis=0) / 2, g + w
+
+    dot = lambda a, b: (a * b).sum(axis=0)
+    f, g = full(w)
+    past: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    way, t = -divided(g), np.ones(w.shape[1])
+    for _ in range(PASSES):
+        open_ = np.sqrt(dot(g, g)) > CLOSE * np.maximum(0.1, np.sqrt(dot(w, w)))
+        if not open_.any():
+            break
+        new = w + way * t * open_
+        f1, g1 = full(new)
+        good = open_ & (f1 <= f + 1e-4 * t * dot(g, way))
+        s, y = np.where(good, new - w, 0), np.where(good, g1 - g, 0)
+        curve = dot(s, y)
+        past = [*past, (s, y, np.where(curve > 0, 1 / np.where(curve > 0, curve, 1), 0))][-MEMORY:]
+        w, g, f = np.where(good, new, w), np.where(good, g1, g), np.where(good, f1, f)
+        r, kept = g.copy(), []
+        for s, y, rho in reversed(past):
+            a = rho * dot(s, r)
+            r -= a * y
+            kept.append(a)
+        scale = np.ones(w.shape[1])
+        for s, y, rho in past:
+            scale = np.where(rho > 0, 1 / np.where(rho > 0, rho * dot(y, divided(y)), 1), scale)
+        r = divided(r) * scale
+        for (s, y, rho), a in zip(past, reversed(kept), strict=True):
+            r += s * (a - rho * dot(y, r))
+        way, t = np.where(good, -r, way), np.where(good, 1.0, t / 2)
+    return w
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
@@ -190,39 +276,84 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 300) -> Model | None:
-    """Fit on some `per_lang` whole texts of each label, chosen by a hash of the id among rows not held out.
+    """Fit on the whole texts of all rows with a label that are not held out; None if none has a letter.
 
-    The sample is the only thing collected: at most 2 * per_lang vectors of SIZE numbers for a label. None if no row
-    qualifies.
+    Their vectors are stored, and every step reads them all; the driver gets the machines' gradients, never rows.
+    `per_lang` is what a label's rows count for together against the shortness of the weights, see `row_costs`: it fixes
+    how far scores spread, whatever the size of the table.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter(~held_out("id") & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return None
-    scale = 1 << 30
-    limit = F.lit(0)
-    for lang, n in sorted(counts.items()):
-        limit = F.when(F.col("lang") == lang, F.lit(int(scale * min(1.0, per_lang / n)))).otherwise(limit)
-    drawn = rows.filter(F.pmod(F.xxhash64("id"), F.lit(scale)) < limit)
+    spark = docs.sparkSession
+    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")).filter(~held_out("id") & F.col("lang").isNotNull())
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
+            texts = batch.column(1).to_pylist()
             for lo, hi in _blocks(texts):
                 x, has = vectors(texts[lo:hi])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).filter(pa.array(has)), batch.column(1).slice(lo, hi - lo).filter(pa.array(has)), pa.array([v.astype(np.float16).tobytes() for v in x[has]], pa.binary())], names=["id", "lang", "x"])
-
-    schema = drawn.select("id", "lang").schema.add("x", "binary")
-    found = stored(drawn.mapInArrow(part, schema), "language-sample").orderBy("lang", F.xxhash64("id"), "x").collect()
-    taken: dict[str, int] = {}
-    use = []
-    for r in found:
-        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-        if taken[r["lang"]] <= 2 * per_lang:
-            use.append(r)
-    if not use:
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).filter(pa.array(has)), pa.array([v.tobytes() for v in x[has].astype(np.float16)], pa.binary())], names=["lang", "x"])
+
+    learned = stored(rows.select("lang", "text").mapInArrow(part, "lang string, x binary"), "language-vectors")
+    counts = {r["lang"]: r["n"] for r in learned.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        discard(learned)
         return None
-    return fit(np.stack([np.frombuffer(bytes(r["x"]), np.float16) for r in use]).astype(np.float32), [r["lang"] for r in use])
+    langs = sorted(counts)
+    families, pairs, side = machines(langs)
+    cost = row_costs(side, np.array([counts[v] for v in langs]), per_lang)
+    place = {v: i for i, v in enumerate(langs)}
+    schema = "k int, loss binary, gradient binary"
+    arrow = pa.schema([("k", pa.int32()), ("loss", pa.binary()), ("gradient", pa.binary())])
+
+    def in_parts(loss: np.ndarray, gradient: np.ndarray) -> pa.RecordBatch:
+        cut = np.array_split(gradient, PARTS)
+        return pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([loss.astype(float).tobytes()] + [np.zeros(len(loss)).tobytes()] * (PARTS - 1), pa.binary()), pa.array([c.tobytes() for c in cut], pa.binary())], schema=arrow)
+
+    def summed(batches: Iterator[pa.RecordBatch], f) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            lang = np.array([place[v] for v in batch.column(0).to_pylist()], np.int64)
+            for lo in range(0, len(lang), 512):
+                x = np.frombuffer(b"".join(batch.column(1).slice(lo, 512).to_pylist()), np.float16).reshape(-1, SIZE).astype(np.float32)
+                more = f(x, lang[lo : lo + 512])
+                total = [a + b for a, b in zip(total, more, strict=True)] if total else more
+        if total:
+            yield in_parts(*total)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums[k] = [a + np.frombuffer(b) for a, b in zip(sums[k], row, strict=True)] if k in sums else [np.frombuffer(b) for b in row]
+        for k, (loss, gradient) in sums.items():
+            yield pa.RecordBatch.from_pylist([{"k": k, "loss": loss.tobytes(), "gradient": gradient.tobytes()}], arrow)
+
+    few = learned.rdd.getNumPartitions() <= PARTS
+
+    def over_rows(f, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of a vector and of a matrix of features that f(vectors, languages, *more) gives for some rows, over all."""
+        sent = spark.sparkContext.broadcast(more)
+        partial = learned.mapInArrow(lambda it: summed(it, lambda x, lang: f(x, lang, *sent.value)), schema)
+        found = (partial if few else partial.repartition(PARTS, "k").mapInArrow(added, schema)).collect()
+        sent.destroy()
+        loss, gradient = (sorted((r["k"], bytes(r[c])) for r in found) for c in ("loss", "gradient"))
+        total = [sum(np.frombuffer(v) for k, v in gradient if k == p) for p in range(PARTS)]
+        return sum(np.frombuffer(v) for _, v in loss), np.concatenate(total).reshape(SIZE + 1, -1)
+
+    def moments(x: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = (lang[:, None] == np.arange(len(langs))).astype(np.float32)
+        n = own.sum(axis=0)
+        return np.zeros(1), np.hstack([np.vstack([x.T @ own, n]), np.vstack([(x * x).T @ own, n])]).astype(float)
+
+    def value(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return over_rows(losses, side, cost, w.astype(np.float32))
+
+    w = np.zeros((SIZE + 1, side.shape[1]))
+    if side.any():
+        sums, squares = np.hsplit(over_rows(moments)[1], 2)
+        w = minimised(value, w, curvature(sums, squares, np.array([counts[v] for v in langs]), cost))
+    discard(learned)
+    n = len(families)
+    return Model(families, w[:-1, :n].T.copy(), w[-1, :n].copy(), {f: [v for v in langs if family_of(v) == f] for f in families}, {f: [(i, j, w[:-1, k].copy(), float(w[-1, k])) for k, (g, i, j) in enumerate(pairs, n) if g == f] for f in families})
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
