@@ -59,41 +59,64 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
     return letter, lower
 
 
-def vectors(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors of square-rooted n-gram counts (1 to 4 letters, words padded), and which texts have a letter."""
+def gram_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the hashed n-grams (1 to 4 letters, words padded) of each text, and which texts have a letter."""
     is_letter, lower = _letters()
     whole = "\n".join("" if t is None else t for t in texts) + "\n"
     cps = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
     sizes = np.array([len(t or "") + 1 for t in texts], np.int64)
     letter = is_letter[cps]
-    sym = np.where(letter, lower[cps], 0).astype(np.uint64)
-    doc = np.repeat(np.arange(len(texts)), sizes)
     use = letter.copy()
     use[1:] |= letter[:-1]
     use[:-1] |= letter[1:]  # the break before and after a word pads it; runs of breaks shrink to their ends
-    sym, doc, letter = sym[use], doc[use], letter[use]
-    out = np.zeros((len(texts), SIZE), np.float32)
+    sym = np.where(letter, lower[cps], 0)[use].astype(np.uint64)
+    row, letter = np.repeat(np.arange(len(texts)) * SIZE, sizes)[use], letter[use]
+    out = np.zeros(len(texts) * SIZE + 1, np.int64)  # the last one takes what is no n-gram
     h = np.zeros(len(sym), np.uint64)
-    grams = []
-    for n in range(1, 5):
-        if len(sym) < n:
-            break
-        h = mixed(h[: len(sym) - n + 1] * np.uint64(0x100000001B3) + sym[n - 1 :] + np.uint64(n))
-        inner = np.zeros(len(h), np.int64)  # breaks inside: an n-gram may begin or end with one, no more
-        for j in range(1, n - 1):
-            inner += ~letter[j : j + len(h)]
-        ok = (doc[: len(h)] == doc[n - 1 :]) & (inner == 0) & (letter[: len(h)] | letter[n - 1 :])
-        grams.append((doc[: len(h)][ok] * SIZE + (h[ok] >> np.uint64(52)).astype(np.int64)))
-    if grams:
-        flat = np.concatenate(grams)
-        out = np.sqrt(np.bincount(flat, minlength=len(texts) * SIZE)).reshape(len(texts), SIZE).astype(np.float32)
-    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    for n in range(1, min(4, len(sym)) + 1):
+        size = len(sym) - n + 1
+        h = mixed(h[:size] * np.uint64(0x100000001B3) + (sym[n - 1 :] + np.uint64(n)))
+        ok = (row[:size] == row[n - 1 :]) & (letter[:size] | letter[n - 1 :])
+        for j in range(1, n - 1):  # an n-gram may begin or end with a break, no more
+            ok &= letter[j : j + size]
+        place = (h >> np.uint64(52)).view(np.int64)
+        place += row[:size]
+        np.putmask(place, ~ok, len(out) - 1)
+        out += np.bincount(place, minlength=len(out))
     has = np.zeros(len(texts), bool)
-    has[np.unique(doc[letter])] = True
-    return out / np.maximum(norm, 1e-9), has
+    has[np.unique(row[letter]) // SIZE] = True
+    return out[:-1].reshape(len(texts), SIZE), has
+
+
+def unit(counts: np.ndarray) -> np.ndarray:
+    """Unit vectors of square-rooted counts."""
+    out = counts.astype(np.float32)
+    norm = np.sqrt(out.sum(axis=1, keepdims=True))
+    np.sqrt(out, out=out)
+    out /= np.maximum(norm, 1e-9)
+    return out
+
+
+def vectors(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of square-rooted n-gram counts, and which texts have a letter."""
+    counts, has = gram_counts(texts)
+    return unit(counts), has
+
 
+def packed(counts: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Rows of counts in little room: a compressed byte for each count, and the places and counts of those over 255."""
+    over = np.flatnonzero(counts > 255)
+    return pa.compress(np.minimum(counts, 255).astype(np.uint8), "zstd", asbytes=True), over.astype(np.int64).tobytes(), counts.ravel()[over].astype(np.int64).tobytes()
 
-def _blocks(texts: list[str | None], limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
+
+def unpacked(rows: int, small: bytes, over: bytes, large: bytes) -> np.ndarray:
+    """What `packed` was given, as float32."""
+    out = np.frombuffer(pa.decompress(small, rows * SIZE, "zstd"), np.uint8).astype(np.float32)
+    out[np.frombuffer(over, np.int64)] = np.frombuffer(large, np.int64)
+    return out.reshape(rows, SIZE)
+
+
+def _blocks(texts: list[str | None], limit: int = 1 << 16) -> Iterator[tuple[int, int]]:
     """Runs of texts of about `limit` characters and at most 128 texts."""
     at = 0
     while at < len(texts):
@@ -167,6 +190,8 @@ class Model:
 
 #: Width over which the hinge is rounded, so that it has a gradient everywhere.
 ROUNDED = 0.5
+#: Rows of vectors that are stored, and added up, as one.
+BLOCK = 512
 #: Parts in which executors add up gradients. Steps that the driver remembers, and passes over the rows at most.
 PARTS, MEMORY, PASSES = 16, 6, 80
 #: Length of the gradient, as a share of the weights', at which a machine is done. The objective's curvature is one at
@@ -278,7 +303,8 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 300) -> Model | None:
     """Fit on the whole texts of all rows with a label that are not held out; None if none has a letter.
 
-    Their vectors are stored, and every step reads them all; the driver gets the machines' gradients, never rows.
+    Their counts are stored, packed in blocks of rows, and every step reads them all; the driver gets the machines'
+    gradients, never rows.
     `per_lang` is what a label's rows count for together against the shortness of the weights, see `row_costs`: it fixes
     how far scores spread, whatever the size of the table.
     """
@@ -286,14 +312,30 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")).filter(~held_out("id") & F.col("lang").isNotNull())
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs: list[str] = []
+        waiting: list[np.ndarray] = []
+
+        def block() -> pa.RecordBatch:
+            whole = np.vstack(waiting)
+            small, over, large = packed(whole[:BLOCK])
+            out = pa.RecordBatch.from_arrays([pa.array([langs[:BLOCK]], pa.list_(pa.string())), *(pa.array([v], pa.binary()) for v in (small, over, large))], names=["langs", "small", "over", "large"])
+            del langs[:BLOCK]
+            waiting[:] = [whole[BLOCK:].copy()]
+            return out
+
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            own, texts = (c.to_pylist() for c in batch.columns)
             for lo, hi in _blocks(texts):
-                x, has = vectors(texts[lo:hi])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).filter(pa.array(has)), pa.array([v.tobytes() for v in x[has].astype(np.float16)], pa.binary())], names=["lang", "x"])
-
-    learned = stored(rows.select("lang", "text").mapInArrow(part, "lang string, x binary"), "language-vectors")
-    counts = {r["lang"]: r["n"] for r in learned.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+                counts, has = gram_counts(texts[lo:hi])
+                langs += [v for v, ok in zip(own[lo:hi], has, strict=True) if ok]
+                waiting.append(counts[has])
+                if len(langs) >= BLOCK:
+                    yield block()
+        if langs:
+            yield block()
+
+    learned = stored(rows.select("lang", "text").mapInArrow(part, "langs array<string>, small binary, over binary, large binary"), "language-vectors")
+    counts = {r["lang"]: r["n"] for r in learned.select(F.explode("langs").alias("lang")).groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         discard(learned)
         return None
@@ -311,10 +353,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     def summed(batches: Iterator[pa.RecordBatch], f) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            lang = np.array([place[v] for v in batch.column(0).to_pylist()], np.int64)
-            for lo in range(0, len(lang), 512):
-                x = np.frombuffer(b"".join(batch.column(1).slice(lo, 512).to_pylist()), np.float16).reshape(-1, SIZE).astype(np.float32)
-                more = f(x, lang[lo : lo + 512])
+            for i in range(batch.num_rows):
+                own, *parts = (c[i].as_py() for c in batch.columns)
+                more = f(unit(unpacked(len(own), *parts)), np.array([place[v] for v in own], np.int64))
                 total = [a + b for a, b in zip(total, more, strict=True)] if total else more
         if total:
             yield in_parts(*total)

@@ -55,3 +55,33 @@ def test_without_labels_or_rows(spark):
     assert lid.train(docs) is None
     assert lid.identify(docs, None).first().lang_pred == "und"
     assert lid.identify(docs.filter("false"), None).collect() == []
+
+
+def test_what_each_pass_reads_is_packed_and_whole(spark, monkeypatch):
+    rnd = random.Random(5)
+    rows = [(i, text(rnd, lang, rnd.choice([1, 20, 200])), lang) for i in range(2000) for lang in [rnd.choice(list(SYLLABLES))]]
+    rows += [(i, "nn " * 70_000, "en") for i in range(2000, 2010)] + [(3000, "12 !", "de"), (3001, None, "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(2)
+    seen = []
+
+    def stored(df, name, real=lid.stored):
+        out = real(df, name)
+        seen.extend(out.collect())
+        return out
+
+    monkeypatch.setattr(lid, "stored", stored)
+    assert lid.train(docs, per_lang=20)
+    used = [r for r in rows if r[0] < 3000 and zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    assert len(seen) <= len(used) / lid.BLOCK + 2
+    assert sum(len(v) for r in seen for v in r[1:]) < len(used) * lid.SIZE / 4
+    got = sorted((v, *x.nonzero()[0], *x[x > 0]) for r in seen for v, x in zip(r[0], lid.unpacked(len(r[0]), *map(bytes, r[1:])), strict=True))
+    counts = lid.gram_counts([r[1] for r in used])[0]
+    assert counts.max() > 100_000
+    assert got == sorted((r[2], *x.nonzero()[0], *x[x > 0]) for r, x in zip(used, counts, strict=True))
+
+
+def test_packed_counts_come_back():
+    counts = np.random.default_rng(2).integers(0, 300, (7, lid.SIZE))
+    counts[3, 5], counts[6, -1], counts[2] = 1 << 23, 256, 0
+    assert (lid.unpacked(7, *lid.packed(counts)) == counts).all()
+    assert lid.unpacked(0, *lid.packed(counts[:0])).shape == (0, lid.SIZE)
